@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import bpe, decontaminate, simhash, token_count, token_store, toxicity
+from vecspark.llm import bpe, decontaminate, simhash, token_count, token_store, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read_token_store(spark, path)
@@ -43,8 +56,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op5_token_store, op8_bpe, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_url_filter, op5_token_store, op8_bpe, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.sql()}
+    return {"op3_url_filter": url_filter.sql(RULES), "op10_decontaminate": decontaminate.sql()}
