@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm import bpe, decontaminate, simhash, token_count, token_store, toxicity, url_filter
+from vecspark.llm import bpe, decontaminate, langid, matroska, ppm, simhash, token_count, token_store, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,23 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read_token_store(spark, path)
 
 
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_features(matroska.media_column(table(spark, sf_dir, "documents")))
+
+
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,7 +68,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_url_filter, op5_token_store, op8_bpe, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_url_filter, op4_language_id, op5_token_store, op6_matroska, op7_ppm, op8_bpe, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
