@@ -101,7 +101,7 @@ VALUE = T.StructType(
     ]
 )
 METADATA = T.MapType(T.StringType(), VALUE)
-VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+VECTOR = T.ArrayType(T.FloatType())
 POINT = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", VECTOR), T.StructField("metadata", METADATA)])
 #: A mutation: ``ordinal`` is the place in its batch; ``op`` is upsert or delete.
 MUTATION = T.StructType([*POINT.fields, T.StructField("op", T.StringType()), T.StructField("sequence", T.LongType()), T.StructField("ordinal", T.IntegerType())])

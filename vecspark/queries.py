@@ -8,6 +8,8 @@ The mutation log comes from events, an event being a batch of one row.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import vectors as V
 from vecspark.functions.filters import And, Eq, Filter, MatchAll, Not, Or, Range, compile_filter
-from vecspark.model import METADATA, VALUE, Metric
+from vecspark.model import METADATA, VALUE, CollectionConfig, Metric
 from vecspark.operators import postings, search, sharding, versions
 from vecspark.plans import planner
+from vecspark.sources.store import Collection
+from vecspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -454,6 +458,80 @@ def _(spark, d):
     return hits(sharding.topk_by_shard(scored, K))
 
 
+# Collections on disk and streams.
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, d: str, parts: int = 2) -> Collection:
+    """The points in a collection, committed in parts, flushed but for the last one, with every ninth deleted."""
+    c = Collection.open(spark, scratch(spark, "collection"), CollectionConfig(64, Metric.DOT))
+    p = points(spark, d)
+    n = F.col("id").cast("long")
+    for k in range(parts):
+        c.upsert(p.where(n % parts == k))
+        if k + 1 < parts:
+            c.flush()
+    c.delete(p.where(n % 9 == 0).select("id"))
+    return c
+
+
+@register("index_stats", "SELECT 1 AS segments, count(*) FILTER (vec_id % 9 <> 0) AS points, count(*) FILTER (vec_id % 2 = 1 OR vec_id % 9 = 0) AS pending, 3::BIGINT AS sequence FROM embeddings")
+def _(spark, d):
+    return _stored(spark, d).stats().select("segments", "points", "pending", "sequence")
+
+
+@register("restore_roundtrip", f"WITH {POINTS_SQL} SELECT id, label, {_rounded('v[64]')} AS last_component FROM e WHERE vec_id % 9 <> 0")
+def _(spark, d):
+    c = _stored(spark, d)
+    copy = scratch(spark, "backup")
+    c.backup(copy)
+    c.delete(c.points().select("id").limit(5))
+    found = Collection.open(spark, copy).points()
+    return found.select("id", F.col("metadata")["label"]["i"].cast("int").alias("label"), (F.round(F.col("vector")[63].cast("double"), 6) + 0.0).alias("last_component"))
+
+
+@register("knn_stored", f"""WITH {POINTS_SQL}, q AS (SELECT v FROM e WHERE vec_id = {QUERY_ID}) SELECT p.id, round({DOT.format(a="p.v", b="q.v")}, 4) + 0.0 AS score FROM e p, q WHERE vec_id % 9 <> 0 AND label >= 3 ORDER BY score DESC, p.id LIMIT {K}""")
+def _(spark, d):
+    found = _stored(spark, d).search(query_vector(spark, d), K, Range("label", 3, None))
+    return found.select("id", (F.round(F.col("score").cast("double"), 4) + 0.0).alias("score"))
+
+
+@register("json_ingest", f"WITH {POINTS_SQL} SELECT id, label, num AS score, even FROM e")
+def _(spark, d):
+    """Points written as JSON lines and read back with a stated schema."""
+    m = F.col("metadata")
+    lines = points(spark, d).select("id", "vector", F.struct(m["label"]["i"].alias("label"), m["score"]["f"].alias("score"), m["even"]["b"].alias("even")).alias("metadata"))
+    path = scratch(spark, "json")
+    lines.write.json(path)
+    read = spark.read.schema("id string, vector array<float>, metadata struct<label: int, score: double, even: boolean>").json(path)
+    return read.select("id", "metadata.*")
+
+
+@register("stream_latest", SQL["latest_version"])
+def _(spark, d):
+    """The log as a stream, committed batch by batch, then its newest versions."""
+    source, path = scratch(spark, "stream-source"), scratch(spark, "stream-log")
+    log(spark, d).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 4).parquet(source)
+    ingest.to_log(stream, path, scratch(spark, "stream-state")).awaitTermination()
+    return versions.latest(spark.read.parquet(path)).select("id", "sequence", "vec_id")
+
+
+@register("stream_dedup_requests", f"WITH {LOG_SQL} SELECT DISTINCT client_id, request_id FROM l")
+def _(spark, d):
+    """Requests taken once each from a stream that brings them again and again."""
+    source, path = scratch(spark, "stream-source"), scratch(spark, "stream-log")
+    log(spark, d).repartition(8).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 4).parquet(source)
+    ingest.to_log(stream, path, scratch(spark, "stream-state"), dedup=True).awaitTermination()
+    return spark.read.parquet(path).select("client_id", "request_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

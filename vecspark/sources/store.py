@@ -221,4 +221,4 @@ class Collection:
         """One row: segments, live points, pending ids, bytes of segments, last sequence."""
         manifest = self.manifest()
         size = sum(sum(s["files"].values()) for s in manifest["segments"])
-        return self.points().agg(F.count("*").alias("points")).select(F.lit(len(manifest["segments"])).alias("segments"), "points", F.lit(self.pending()).alias("pending"), F.lit(size).cast("long").alias("bytes"), F.lit(self.sequence).cast("long").alias("sequence"))
+        return self.points().agg(F.count("*").alias("points")).select(F.lit(len(manifest["segments"])).alias("segments"), "points", F.lit(self.pending()).cast("long").alias("pending"), F.lit(size).cast("long").alias("bytes"), F.lit(self.sequence).cast("long").alias("sequence"))
