@@ -80,6 +80,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("a"), F.xxhash64(text_col, F.lit(1)).alias("b"))
     docs = df.select(key.alias("key"), F.col(text_col).alias("text"))
     hits, items = find_hits(docs, benchmark, window, item_id_col, item_text_col, broadcast_windows)
+    hits = written(hits, "hits")  # read twice, found once
     places = F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
     by_key = hits.groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("hit")).select("key", places.alias("hit_words"))
     ids = hits.select("key", "wid").distinct().join(items, "wid").select("key", F.explode("items").alias("item"))
