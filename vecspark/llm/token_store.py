@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm.bpe import BpeTables
+from vecspark.llm.bpe import BpeTables, byte_symbols
 from vecspark.llm.shared import fresh_path, partitions
 from vecspark.llm.text import WordMemo, keyed_text, sub_batches
 
@@ -125,8 +126,8 @@ class Frame:
 
 
 class Encoder:
-    """The library's encoding of text, asked for once for each distinct
-    pre-token; white space parts texts without touching an id."""
+    """The library's encoding of text, of which its BPE model is asked once for
+    each distinct run of text without white space, as white space touches no id."""
 
     def __init__(self, file: str):
         self.file, self.tokenizer = file, None
@@ -135,20 +136,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(self.file)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.tables = BpeTables(self.file)  # only for how texts part into pre-tokens
-        self.words = WordMemo(self._library, 300_000)
-        self.chunks = WordMemo(self._chunks, 200_000)
-
-    def _library(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.chunks = WordMemo(self._chunks, 500_000)
 
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
-        parts = [[p if isinstance(p, bytes) else self.tables.tokens[p].encode() for p in self.tables.pieces(c)] for c in chunks]
-        get = self.words.of(parts).__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        tokenize, symbols, pieces = self.model.tokenize, self.symbols, self.tables.pieces
+        out = []
+        for chunk in chunks:
+            ids: list[int] = []
+            for p in pieces(chunk):
+                if isinstance(p, bytes):
+                    ids += [t.id for t in tokenize(p.decode("latin-1").translate(symbols))]
+                else:
+                    ids.append(p)
+            out.append(array("I", ids).tobytes())
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -181,7 +185,7 @@ def write_token_store(df: DataFrame, tokenizer_path: str, path: str | None = Non
             frame, docs, held, size = frame + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
-        for part, texts in sub_batches(batches):
+        for part, texts in sub_batches(batches, limit=4 << 20):
             for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                 if size and size + len(ids) // 4 >= frame_ids:
                     yield flush()
