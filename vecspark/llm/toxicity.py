@@ -43,7 +43,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Word hashes, kept for the words of a bounded number of texts."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -89,6 +89,18 @@ def ftrl(rows: list[np.ndarray], labels: list[int], size: int, alpha: float, bet
     return weights(np.arange(size)), -zb / ((beta + math.sqrt(nb)) / alpha)
 
 
+def frequent(rows: list[np.ndarray], least: int, shards: int = 16) -> np.ndarray:
+    """The features that at least ``least`` rows have, counted a range of hashes at a time."""
+    found = []
+    for k in range(shards):
+        low, high = np.uint64(k << 60), np.uint64((k << 60) + (1 << 60) - 1)
+        # the rows are sorted
+        part = np.concatenate([r[np.searchsorted(r, low) : np.searchsorted(r, high, "right")] for r in rows])
+        keys, counts = np.unique(part, return_counts=True)
+        found.append(keys[counts >= least])
+    return np.concatenate(found)
+
+
 class Model:
     """Sorted feature hashes with their weights, and the bias."""
 
@@ -116,7 +128,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000, least_rows: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 6000, least_rows: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, epochs: int = 10, seed: int = 11) -> Model:
     """Learns from at most ``sample_rows`` labelled rows that are not held out.
 
     Features that fewer than ``least_rows`` of them have are left out.  One task
@@ -135,8 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         given.sort(key=lambda x: (x[0], x[1], len(x[2])))  # as it were in any order of arrival
         if not given:
             return
-        keys, counts = np.unique(np.concatenate([x[2] for x in given]), return_counts=True)
-        keys = keys[counts >= least_rows]
+        keys = frequent([x[2] for x in given], least_rows)
         indices = []
         for _, _, f in given:
             at = np.minimum(np.searchsorted(keys, f), max(0, len(keys) - 1))
@@ -147,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             [pa.array([None, *keys[kept].view(np.int64).tolist()], pa.int64()), pa.array([bias, *w[kept].tolist()], pa.float64())], ["key", "weight"]
         )
 
-    learned = rows.coalesce(1).mapInArrow(learn, "key long, weight double").collect()
+    learned = rows.repartition(1).mapInArrow(learn, "key long, weight double").collect()
     bias = next((r["weight"] for r in learned if r["key"] is None), 0.0)
     pairs = [(r["key"], r["weight"]) for r in learned if r["key"] is not None]
     return Model(np.array([k for k, _ in pairs], dtype=np.int64).view(np.uint64), np.array([w for _, w in pairs], dtype=np.float64), bias)
