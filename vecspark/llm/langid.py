@@ -78,9 +78,9 @@ def fit_text(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample_row
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array(at), pa.array(row[at])], ["k", "bucket", "n"])
 
     # languages times buckets at most
-    found = sample.mapInArrow(count, "k int, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(count, "k int, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))
-    counts[found["k"].to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy(float)
+    counts[found["k"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     return TextModel(counts, weight)
 
 

@@ -95,7 +95,7 @@ def view_links(prints: DataFrame, bits: int) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b"))
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 44, seed: int = 42) -> DataFrame:
+def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 44, seed: int = 42) -> DataFrame:
     """node (a text's hash) and label, which near copies share, of each text that has one."""
     key = F.struct(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("a"), F.xxhash64(F.coalesce(text_col, F.lit("")), F.lit(1)).alias("b"))
     texts = df.select(F.xxhash64(key["a"], key["b"]).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -114,7 +114,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     of each group of near copies."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     node = F.xxhash64(F.xxhash64(text), F.xxhash64(text, F.lit(1)))
-    labels = groups(df, id_col, text_col, **options)
+    labels = groups(df, text_col, **options)
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in df.columns]).alias("_doc"), node.alias("node"))
     rank = F.struct(F.col("_doc")[id_col].isNull().alias("no_id"), F.col("_doc")[id_col].alias("id"), F.col("node").alias("node"), F.col("_row").alias("row"))
     best = rows.groupBy("node").agg(F.min(rank).alias("rank")).join(labels, "node", "left")

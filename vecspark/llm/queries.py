@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vecspark.llm import bpe, decontaminate, langid, matroska, ppm, simhash, token_count, token_store, toxicity, url_filter
 
