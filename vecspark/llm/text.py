@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time inside a worker.
-SUB_BATCH_BYTES = 8 << 20
+SUB_BATCH_BYTES = 4 << 20
 
 
 def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,7 +49,7 @@ class WordMemo:
     """Results per distinct word, computed in vectorised lots.  Two generations
     of a bounded number of words are kept; words in use move to the younger."""
 
-    def __init__(self, compute: Callable[[list[bytes]], list], limit: int = 300_000):
+    def __init__(self, compute: Callable[[list[bytes]], list], limit: int = 200_000):
         self.compute, self.limit = compute, limit
         self.young: dict = {}
         self.old: dict = {}
