@@ -10,12 +10,12 @@ FREE = np.int64(-1)
 class PairTable:
     """Finds the place of non-negative keys in the array given; -1 where absent.
 
-    Open addressing with linear steps; the slots are at least eight times the
-    keys, so nearly every key is settled by its first slot.
+    Open addressing with linear steps; the slots are at least ``spread`` times
+    the keys, so most keys are settled by their first slot.
     """
 
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(8 * max(1, len(keys)) - 1).bit_length())
+    def __init__(self, keys: np.ndarray, spread: int = 8):
+        self.bits = max(4, int(spread * max(1, len(keys)) - 1).bit_length())
         self.slots = np.full(1 << self.bits, FREE)
         self.place = np.full(1 << self.bits, -1, dtype=np.int32)
         left = np.arange(len(keys))

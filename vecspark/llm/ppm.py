@@ -29,6 +29,7 @@ any kind may be part of words.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -45,6 +46,8 @@ from vecspark.llm.text import keyed_text, sub_batches
 BITS = 9  # of a symbol: 1 is where a word starts and ends, a byte is 2 more than itself
 EDGE = 1
 ALPHABET = 257
+#: Bytes of text whose documents are packed together.
+LOT_BYTES = 4 << 20
 
 
 def held_out(doc_id) -> F.Column:
@@ -84,7 +87,7 @@ def packed_counts(docs: DataFrame, parts: int) -> DataFrame:
     documents the packed list of each word partition."""
 
     def run(batches):
-        for part, texts in sub_batches(batches):
+        for part, texts in sub_batches(batches, limit=LOT_BYTES):
             # the end token is the empty word
             tokens = [[*t.lower().split(), b""] for t in texts]
             words = list(set().union(*tokens))
@@ -199,12 +202,12 @@ class Trie:
     def open(self) -> None:
         length = (self.code >> 58) - 1
         symbols = self.code & (1 << 58) - 1
-        self.find = PairTable(self.code)
+        self.find = PairTable(self.code, 2)
         shorter = tagged(symbols & (1 << BITS * np.maximum(length, 0)) - 1, length - 1)
         at = self.find.find(np.where(length > 0, shorter, -2))
         below = np.where(at >= 0, self.n[at], 0.0)
         context, group = np.unique(tagged(symbols >> BITS, length), return_inverse=True)
-        self.contexts = PairTable(context)
+        self.contexts = PairTable(context, 2)
         self.all = np.append(np.bincount(group, self.n, len(context)), 0.0)
         self.distinct = np.append(np.bincount(group, minlength=len(context)), 0.0)
         self.below = np.append(np.bincount(group, below, len(context)), 0.0)
@@ -255,8 +258,8 @@ def spelled(words: DataFrame, counts: DataFrame, order: int, shard_entries: int)
         mine[symbols] = True
         if k == 0:
             mine[[s for s in range(1 << BITS) if s not in sizes]] = True
-        table = counts.where(F.col("last").isin(0, *symbols)).select("code", "n").toPandas()
-        shared = spark.sparkContext.broadcast(Trie(table["code"].to_numpy(np.int64), table["n"].to_numpy(np.int64), order))
+        table = counts.where(F.col("last").isin(0, *symbols)).select("code", "n").toArrow()
+        shared = spark.sparkContext.broadcast(Trie(table["code"].to_numpy(), table["n"].to_numpy(), order))
 
         def run(batches, shared=shared, mine=mine):
             trie = shared.value
@@ -268,7 +271,7 @@ def spelled(words: DataFrame, counts: DataFrame, order: int, shard_entries: int)
                 owner, code, length = owner[chosen], code[chosen], length[chosen]
                 one, where = np.unique(tagged(code, length), return_inverse=True)
                 chance = trie.log10(one & (1 << 58) - 1, (one >> 58) - 1)[where]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.bincount(owner, chance, batch.num_rows))], ["p", "word", "c", "spelling"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.bincount(owner, chance, batch.num_rows), pa.float64())], ["p", "word", "c", "spelling"])
 
         parts.append(words.mapInArrow(run, "p int, word binary, c long, spelling double"))
     if len(parts) == 1:
@@ -279,10 +282,13 @@ def spelled(words: DataFrame, counts: DataFrame, order: int, shard_entries: int)
     return out.groupBy("p", "word", "c").agg(F.sum("spelling").alias("spelling"))
 
 
-def score(df: DataFrame, order: int = 4, strength: float = 2000.0, new_strength: float = 1000.0, escape_strength: float = 10.0, shard_entries: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
+def score(df: DataFrame, order: int = 5, strength: float = 2000.0, new_strength: float = 300.0, escape_strength: float = 10.0, shard_entries: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", parts: int = 24) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
+
+    ``parts`` is the number of word partitions; a task holds one's words, some
+    hundred bytes each, so it follows the vocabulary and not the documents.
+    """
     spark = df.sparkSession
-    parts = parts or max(4, partitions(spark) // 2)
     docs = keyed_text(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     packed = written(packed_counts(docs, parts), "packed-counts")
     words = written(word_counts(packed, parts), "word-counts")
@@ -303,6 +309,7 @@ def score(df: DataFrame, order: int = 4, strength: float = 2000.0, new_strength:
     def run(batches):
         p, place, counts, chances = None, {}, [], []
         c_of = q_of = None
+        zip_ = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for own, kind, word, count_, chance_, data in zip(*batch.columns):
                 own = own.as_py()
@@ -325,25 +332,45 @@ def score(df: DataFrame, order: int = 4, strength: float = 2000.0, new_strength:
                 gain[many] = [(math.lgamma(a + k) - math.lgamma(a)) / math.log(10) for a, k in zip(prior[many].tolist(), count[many].tolist())]
                 docs_ = len(rows)
                 known_, base_, gain_ = (np.bincount(doc, x, docs_) for x in (np.where(c_ > 0, count, 0), base, gain))
-                has = np.bincount(doc, minlength=docs_) > 0
-                null = (flags & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[has]), pa.array(ids[has], pa.int64(), mask=null[has]), pa.array((flags[has] & 2) > 0), pa.array(sizes[has].astype(np.int64)), pa.array(known_[has].astype(np.int64)), pa.array(base_[has]), pa.array(gain_[has])],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
+                has = np.flatnonzero(np.bincount(doc, minlength=docs_))
+                # what the documents are comes along once, with the end token's partition
+                about = [rows, ids, flags, sizes] if b"" in words_ else None
+                out = pickle.dumps((has, known_[has].astype(np.int64), base_[has], gain_[has], about), protocol=5)
+                yield pa.RecordBatch.from_arrays([pa.array([int(rows[0])], pa.int64()), pa.array([zip_.compress(out)], pa.binary())], ["lot", "sums"])
 
     def finish(batches):
-        for batch in batches:
-            sizes, known_, gain = (batch.column(k).to_pylist() for k in (2, 3, 5))
-            out = []
-            for size, k, g in zip(sizes, known_, gain):
+        unzip, lot, held = zstandard.ZstdDecompressor(), None, []
+
+        def out() -> pa.RecordBatch:
+            rows, ids, flags, sizes = next(x[4] for x in held if x[4] is not None)
+            known_, base_, gain_ = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows)), np.zeros(len(rows))
+            for has, a, b, c, _ in held:
+                known_[has] += a
+                base_[has] += b
+                gain_[has] += c
+            scores = []
+            for size, k, g in zip(sizes.tolist(), known_.tolist(), gain_.tolist()):
                 learned = rising(strength, k) + rising(new_strength, size - k) + rising(escape_strength, size)
-                out.append(g + (rising(escape_strength * escape, size - k) + rising(escape_strength * (1 - escape), k) - learned) / math.log(10))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                scores.append(g + (rising(escape_strength * escape, size - k) + rising(escape_strength * (1 - escape), k) - learned) / math.log(10))
+            null = (flags & 1).astype(bool)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64(), mask=null), pa.array((flags & 2) > 0), pa.array(sizes.astype(np.int64)), pa.array(known_), pa.array(base_), pa.array(scores, pa.float64())],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
 
-    sums = table.unionByName(lists).repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    by_row = sums.groupBy("row", "doc_id", "held_out", "n_tokens").agg(F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    done = by_row.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        for batch in batches:
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and own != lot:
+                    yield out()
+                    held = []
+                lot = own
+                held.append(pickle.loads(unzip.decompress(data.as_py())))
+        if held:
+            yield out()
+
+    sums = table.unionByName(lists).repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(run, "lot long, sums binary")
+    by_lot = sums.repartition(partitions(spark), "lot").sortWithinPartitions("lot")
+    done = by_lot.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
