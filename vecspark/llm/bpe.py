@@ -79,22 +79,30 @@ class BpeTables:
         """Pre-tokens (UTF-8) and special ids of a chunk, in order."""
         if self._split is None:
             self._split = regex.compile(self.pattern.replace(r"\s", WHITE), regex.V0)
+            self._split_ascii = re.compile(self.pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").encode()).findall
             self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         if chunk.isalpha():  # ASCII letters only
             return [chunk.lower()]
+        if chunk.isascii() and b"<|" not in chunk:
+            return self._split_ascii(chunk.lower())
         text = chunk.decode("utf-8", "replace")
-        if chunk.isascii() and "<|" not in text:
-            return [p.encode() for p in self._split.findall(text.lower())]
+        if "<|" not in text:
+            return self._split_text(text)
         out: list[bytes | int] = []
-        for part in self._cut.split(text) if "<|" in text else [text]:
+        for part in self._cut.split(text):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                # character by character: no rule looks at a character's neighbours
-                lower = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += [p.encode() for p in self._split.findall(lower)]
+                out += self._split_text(part)
         return out
 
+    def _split_text(self, text: str) -> list[bytes]:
+        # character by character: no rule looks at a character's neighbours
+        lower = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if lower.isalpha():
+            return [lower.encode()]
+        return [p.encode() for p in self._split.findall(lower)]
+
 
 def _merge_rows(tables: BpeTables, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges the rows of ``sym`` (ids, then -1 up to a power of two) to the end.
@@ -191,8 +199,8 @@ class BpeMemo:
         self.tables = tables
         self.decimal = [str(i).encode() for i in range(tables.n)]
         self.text = [t.encode() for t in tables.tokens]
-        self.words = WordMemo(self._words)
-        self.chunks = WordMemo(self._chunks)
+        self.words = WordMemo(self._words, 120_000)
+        self.chunks = WordMemo(self._chunks, 120_000)
 
     def _both(self, ids: list[int]) -> tuple[bytes, bytes]:
         return b" ".join([self.decimal[i] for i in ids]), b" ".join([self.text[i] for i in ids])
@@ -253,5 +261,6 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                 arrays += [pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        tables.memo = None  # an idle worker holds nothing
 
     return keyed_text(df, id_col, text_col).mapInArrow(run, schema)

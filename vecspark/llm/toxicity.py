@@ -128,7 +128,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 6000, least_rows: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, epochs: int = 10, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 4000, least_rows: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, epochs: int = 10, seed: int = 11) -> Model:
     """Learns from at most ``sample_rows`` labelled rows that are not held out.
 
     Features that fewer than ``least_rows`` of them have are left out.  One task
@@ -172,6 +172,7 @@ def toxicity(df: DataFrame, model: Model, threshold: float = 0.3, id_col: str =
         model = shared.value
         for part, texts in sub_batches(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(t) for t in texts], pa.float64())], ["doc_id", "score"])
+        model.hasher = None  # an idle worker holds nothing
 
     scored = keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -185,6 +186,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = 0.3, text_col: st
         model = shared.value
         for part, texts in sub_batches(batches, text_col):
             yield part.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
+        model.hasher = None
 
     return df.mapInArrow(run, df.schema)
 
