@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecspark.llm.shared import written
 from vecspark.llm.text import sub_batches
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -92,7 +93,7 @@ def host_levels(host: Column) -> Column:
 
 
 def host_priors(rows: DataFrame, languages: tuple[str, ...], smoothing: float, trust: float) -> DataFrame:
-    """(host, prior): log chances of the languages for each host.
+    """(host_key, prior): log chances of the languages for each host.
 
     A declaration counts ``trust`` for what it says and the rest evenly for the
     others.  Each level adds its own counts to ``smoothing`` times the chances of
@@ -117,7 +118,7 @@ def host_priors(rows: DataFrame, languages: tuple[str, ...], smoothing: float, t
         return F.transform(added, lambda x: x / total)
 
     chances = F.aggregate("path", start, step)
-    return path.select("host", F.transform(chances, lambda x: F.log(x)).alias("prior"))
+    return path.select(F.col("host").alias("host_key"), F.transform(chances, lambda x: F.log(x)).alias("prior"))
 
 
 def said_by(given: Column, languages: tuple[str, ...], right: float) -> Column:
@@ -143,6 +144,7 @@ def identify(
     smoothing: float = 20.0,
     least: float = 0.5,
     contradiction: float = 12.0,
+    broadcast_hosts: int = 100_000,
     keep_columns: bool = False,
 ) -> DataFrame:
     """doc_id, lang_pred, confidence, text_lang, n_trigrams and keep of each row.
@@ -166,9 +168,11 @@ def identify(
         found = [model.evidence(t.encode() if t is not None else b"") for t in texts]
         return pd.DataFrame({"n": [x[0] for x in found], "log": [x[1] for x in found]})
 
-    prior = host_priors(rows, languages, smoothing, right)
+    prior = written(host_priors(rows, languages, smoothing, right), "host-priors")
+    if prior.count() <= broadcast_hosts:  # else documents are dealt out by host
+        prior = F.broadcast(prior)
     with_text = rows.withColumn("e", evidence("text")).drop("text").withColumn("h", F.lower(F.coalesce("host", F.lit(""))))
-    joined = with_text.join(prior.withColumnRenamed("host", "h"), "h", "left")
+    joined = with_text.join(prior, with_text["h"] == prior["host_key"], "left")
     flat = F.array(*[F.lit(float(-np.log(k)))] * k)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     logs = add(add(F.col("e.log"), F.coalesce("prior", flat)), add(said_by(F.col("declared"), languages, right), said_by(F.col("suffix"), languages, suffix_right)))
