@@ -47,7 +47,7 @@ def prints_of(texts: DataFrame, shingle: int, views: int, sample: int, seed: int
     """node, fingerprint, wide (four longs) and views (longs) of ``texts`` (node, text)."""
 
     def run(batches):
-        for part, given in sub_batches(batches):
+        for part, given in sub_batches(batches, limit=1 << 20):
             hashes = [np.array(shingle_hashes(t, shingle, seed), dtype=np.uint64) for t in given]
             distinct = [np.unique(h) for h in hashes]
             whole = majority_bits(np.concatenate(hashes), np.array([len(h) for h in hashes]))
