@@ -117,3 +117,34 @@ def test_links_can_be_read_again(documents, sentences):
     df = documents([sentences("de", 30) for _ in range(5)] * 2)
     assert near_dedup.keep_one(df).count() == 5
     assert simhash.near_duplicate_classes(df).agg(F.countDistinct("component_id")).first()[0] == 5
+
+
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def smallest_of_groups(texts):
+    """The first of each group that similarities of at least 0.8 join."""
+    sets = [shingle_set(t) for t in texts]
+    label = components(range(len(texts)), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    return sorted(set(label.values()))
+
+
+def test_links_are_decided_by_the_exact_similarity(documents, sentences):
+    rng = random.Random(11)
+    texts = []
+    for g in range(60):  # some pairs a little over 0.8, some a little under
+        base = [f"{w}{rng.randrange(1000)}" for w in sentences("en", 204).split()]
+        copy = list(base)
+        for j in range(4 if g % 2 else 6):  # five shingles of 200 each
+            copy[10 + 30 * j] = f"changed{g}x{j}"
+        texts += [" ".join(base), " ".join(copy)]
+    line = "one line that is there again and again in all of these texts"
+    texts += [" ".join([line] * 60 + [f"{w}{rng.randrange(10**6)}" for w in sentences("de", 60).split()]) for _ in range(6)]
+    kept = sorted(r["doc_id"] for r in near_dedup.keep_one(documents(texts)).select("doc_id").collect())
+    assert kept == smallest_of_groups(texts) and len(kept) == 60 + 30 + 6

@@ -11,8 +11,14 @@ share those shingles often, so some view of theirs is equal (0.8 to the power of
 The documents of an equal view are not paired with each other: each is held
 against one of them, the one nearest to the middle, that is to the majority of
 their wide fingerprints, so rows stay in proportion.  Wide fingerprints are four
-SimHashes of 64 bits over the distinct shingles; documents within ``bits`` of
-their 256 bits are linked.  Rows of equal text are one from the start.
+SimHashes of 64 bits over the distinct shingles.
+
+Fingerprints only propose: pairs of one view whose 256 bits differ in at most
+``bits`` places, and pairs that whole-text fingerprints give.  ``bits`` is six
+standard deviations over what a similarity of 0.8 makes differ (38.5 +- 5.5).
+Each proposed pair is then linked exactly if the Jaccard similarity of its
+distinct shingles (as 64-bit hashes) is at least ``similarity``.  Rows of equal
+text are one from the start.
 
 Defined cases: null and empty texts and texts without words are copies of each
 other; a text of fewer words than a shingle is one shingle; rows of equal id and
@@ -67,9 +73,29 @@ def prints_of(texts: DataFrame, shingle: int, views: int, sample: int, seed: int
                     elif len(first) > 1:
                         sampled[row, k] = majority_bits(first, np.array([len(first)]))[0]
             longs = lambda x: pa.array(list(x.view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole.view(np.int64)), longs(wide), longs(sampled)], ["node", "fingerprint", "wide", "views"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole.view(np.int64)), longs(wide), longs(sampled), pa.array(counts.astype(np.int32))], ["node", "fingerprint", "wide", "views", "size"])
+
+    return texts.mapInArrow(run, "node long, fingerprint long, wide array<long>, views array<long>, size int")
+
+
+def shingle_sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """node and the hashes of the distinct shingles of ``texts`` (node, text)."""
+
+    def run(batches):
+        for part, given in sub_batches(batches, limit=1 << 20):
+            sets = [np.unique(np.array(shingle_hashes(t, shingle, seed), dtype=np.uint64)).view(np.int64) for t in given]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, fingerprint long, wide array<long>, views array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least
+    ``similarity``; empty sets are equal."""
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    held = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
+    return held.where(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def distance(a, b):
@@ -77,11 +103,21 @@ def distance(a, b):
     return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WIDE)), F.lit(0))
 
 
-def view_links(prints: DataFrame, bits: int) -> DataFrame:
-    """Links (a, b) of nodes with an equal view whose wide fingerprints are near."""
+def alike_in_size(a, b, similarity: float):
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def shared_views(prints: DataFrame) -> DataFrame:
+    """(v, key, node, wide, size) of each view that several nodes have."""
     keyed = prints.select("node", F.posexplode("views").alias("v", "key"))
-    shared = keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
-    seen = written(keyed.join(shared, ["v", "key"]).join(prints.select("node", "wide"), "node"), "view-rows")
+    shared = keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return written(keyed.join(shared, ["v", "key"]).join(prints.select("node", "wide", "size"), "node"), "view-rows")
+
+
+def view_pairs(seen: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each node of a view with the head of the view's nodes that
+    fingerprints and sizes allow."""
     # the middle of a group is the majority of every fourth bit, from sums that
     # are made before rows are dealt out
     places = [(k, b) for k in range(WIDE) for b in range(0, 64, 4)]
@@ -89,13 +125,14 @@ def view_links(prints: DataFrame, bits: int) -> DataFrame:
     sums = seen.groupBy("v", "key").agg(F.count("*").alias("m"), *[F.sum(bit[p]).alias(f"s{i}") for i, p in enumerate(places)])
     middle = sums.select("v", "key", F.array(*[(2 * F.col(f"s{i}") > F.col("m")).cast("long") for i in range(len(places))]).alias("middle"))
     off = sum((F.abs(bit[p] - F.col("middle")[i]) for i, p in enumerate(places)), F.lit(0))
-    placed = written(seen.join(middle, ["v", "key"]).select("v", "key", "node", "wide", off.cast("int").alias("off")), "placed-rows")
-    heads = placed.groupBy("v", "key").agg(F.min(F.struct("off", "node", "wide")).alias("head"))
-    pairs = placed.join(heads, ["v", "key"]).where((F.col("node") != F.col("head.node")) & (distance(F.col("wide"), F.col("head.wide")) <= bits))
+    placed = written(seen.join(middle, ["v", "key"]).select("v", "key", "node", "wide", "size", off.cast("int").alias("off")), "placed-rows")
+    heads = placed.groupBy("v", "key").agg(F.min(F.struct("off", "node", "wide", "size")).alias("head"))
+    near = (distance(F.col("wide"), F.col("head.wide")) <= bits) & alike_in_size(F.col("size"), F.col("head.size"), similarity)
+    pairs = placed.join(heads, ["v", "key"]).where((F.col("node") != F.col("head.node")) & near)
     return pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b"))
 
 
-def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 44, seed: int = 42) -> DataFrame:
+def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 72, seed: int = 42, similarity: float = 0.8) -> DataFrame:
     """node (a text's hash) and label, which near copies share, of each text that has one."""
     key = F.struct(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("a"), F.xxhash64(F.coalesce(text_col, F.lit("")), F.lit(1)).alias("b"))
     texts = df.select(F.xxhash64(key["a"], key["b"]).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -105,8 +142,13 @@ def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int
     to = lambda c: first.select(F.col("fingerprint").alias(c), F.col("first").alias(f"{c}_node"))
     whole = whole.join(to("a"), "a").join(to("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     equal = prints.join(first, "fingerprint").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    links = whole.unionByName(equal).unionByName(view_links(prints, bits))
-    return connected_components(links)
+    seen = shared_views(prints)
+    pairs = whole.unionByName(equal).unionByName(view_pairs(seen, bits, similarity)).where("a <> b")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    # only texts that a pair may have are read again
+    nodes = seen.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = written(shingle_sets(texts.join(nodes, "node", "left_semi"), shingle, seed).dropDuplicates(["node"]), "shingle-sets")
+    return connected_components(similar(pairs, sets, similarity))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
