@@ -148,3 +148,17 @@ def test_links_are_decided_by_the_exact_similarity(documents, sentences):
     texts += [" ".join([line] * 60 + [f"{w}{rng.randrange(10**6)}" for w in sentences("de", 60).split()]) for _ in range(6)]
     kept = sorted(r["doc_id"] for r in near_dedup.keep_one(documents(texts)).select("doc_id").collect())
     assert kept == smallest_of_groups(texts) and len(kept) == 60 + 30 + 6
+
+
+def test_near_pairs_in_a_group_that_shares_a_passage(documents, sentences):
+    rng = random.Random(13)
+    passage = [f"{w}{rng.randrange(1000)}" for w in sentences("fr", 300).split()]
+    texts = []
+    for g in range(40):  # pairs are a little over 0.8, others near 0.7: mostly one passage
+        own = [f"own{g}x{k}" for k in range(60)]
+        copy = passage + own
+        for j in range(7):
+            copy[4 + 40 * j] = f"changed{g}x{j}"
+        texts += [" ".join(passage + own), " ".join(copy)]
+    kept = sorted(r["doc_id"] for r in near_dedup.keep_one(documents(texts), views=6, sample=1).select("doc_id").collect())
+    assert kept == smallest_of_groups(texts) and len(kept) == 40

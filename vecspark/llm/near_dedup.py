@@ -8,10 +8,13 @@ hash orders the SimHash of the ``sample`` shingles that come first.  Near copies
 share those shingles often, so some view of theirs is equal (0.8 to the power of
 ``sample`` for each view); documents that share a passage only rarely do.
 
-The documents of an equal view are not paired with each other: each is held
-against one of them, the one nearest to the middle, that is to the majority of
-their wide fingerprints, so rows stay in proportion.  Wide fingerprints are four
-SimHashes of 64 bits over the distinct shingles.
+The documents of an equal view are first held against one of them, the one
+nearest to the middle, that is to the majority of their wide fingerprints, which
+joins most copies at little cost.  Views whose documents are then of more than
+one component are settled whole: any two of their documents that are not yet
+joined are held against each other, in squares of blocks of bounded size, first
+the ``nearest`` of each document and, once these are joined, all others.  Wide
+fingerprints are four SimHashes of 64 bits over the distinct shingles.
 
 Fingerprints only propose: pairs of one view whose 256 bits differ in at most
 ``bits`` places, and pairs that whole-text fingerprints give.  ``bits`` is six
@@ -39,6 +42,8 @@ from vecspark.llm.simhash import majority_bits, near_links, shingle_hashes
 from vecspark.llm.text import sub_batches
 
 WIDE = 4
+#: Rows of a view that are compared with each other at a time.
+BLOCK = 512
 
 
 def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -132,7 +137,48 @@ def view_pairs(seen: DataFrame, bits: int, similarity: float) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b"))
 
 
-def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 72, seed: int = 42, similarity: float = 0.8) -> DataFrame:
+def unsettled_pairs(seen: DataFrame, links: DataFrame, bits: int, similarity: float, low: int, high: int | None) -> DataFrame:
+    """Pairs (a, b) of nodes of a view that fingerprints and sizes allow and that
+    ``links`` do not join yet: of those that a node has in a square of blocks, the
+    ones from place ``low`` to ``high`` by nearness."""
+    labels = connected_components(links)
+    labelled = written(seen.join(labels, "node", "left").select("v", "key", "node", "wide", "size", F.coalesce("label", "node").alias("label")), "labelled-rows")
+    parted = labelled.groupBy("v", "key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = labelled.join(parted.select("v", "key", blocks.alias("blocks")), ["v", "key"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    squares = dealt.groupBy("v", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    lists = squares.agg(F.sort_array(F.collect_list(F.struct("node", "label", "size", (F.col("block") == F.least("block", "other")).alias("first"), "wide"))).alias("rows")).select((F.col("i") == F.col("j")).alias("same"), "rows")
+
+    def compare(batches):
+        for batch in batches:
+            same, column = batch.column(0).to_pylist(), batch.column(1)
+            ends, held = column.offsets.to_numpy(), column.values
+            node, label, size, first = (held.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            wide = held.field(4).values.to_numpy().view(np.uint64).reshape(-1, WIDE)
+            a, b = [], []
+            for one, x, y in zip(same, ends[:-1].tolist(), ends[1:].tolist()):
+                left = np.arange(x, y) if one else x + np.flatnonzero(first[x:y])
+                right = left if one else x + np.flatnonzero(~first[x:y])
+                for at, row in enumerate(left.tolist()):
+                    to = right[at + 1 :] if one else right
+                    apart = sum((np.bitwise_count(wide[to, k] ^ wide[row, k]).astype(np.int16) for k in range(WIDE)), np.zeros(len(to), dtype=np.int16))
+                    fits = np.minimum(size[to], size[row]) >= similarity * np.maximum(size[to], size[row]) - 1e-9
+                    near = np.flatnonzero((apart <= bits) & fits)
+                    if not len(near):
+                        continue
+                    chosen = to[near[np.argsort(apart[near], kind="stable")]][low:high]
+                    chosen = chosen[label[chosen] != label[row]]
+                    a += [node[row]] * len(chosen)
+                    b += node[chosen].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    found = lists.mapInArrow(compare, "a long, b long")
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "unsettled-pairs")
+
+
+def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 72, seed: int = 42, similarity: float = 0.8, nearest: int = 8) -> DataFrame:
     """node (a text's hash) and label, which near copies share, of each text that has one."""
     key = F.struct(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("a"), F.xxhash64(F.coalesce(text_col, F.lit("")), F.lit(1)).alias("b"))
     texts = df.select(F.xxhash64(key["a"], key["b"]).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -148,7 +194,11 @@ def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int
     # only texts that a pair may have are read again
     nodes = seen.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     sets = written(shingle_sets(texts.join(nodes, "node", "left_semi"), shingle, seed).dropDuplicates(["node"]), "shingle-sets")
-    return connected_components(similar(pairs, sets, similarity))
+    links = written(similar(pairs, sets, similarity), "near-links")
+    for low, high in ((0, nearest), (nearest, None)):
+        pairs = unsettled_pairs(seen, links, bits, similarity, low, high)
+        links = written(links.unionByName(similar(pairs, sets, similarity)), "near-links")
+    return connected_components(links)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
