@@ -8,6 +8,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,26 @@ def test_language_of_suffix_and_host(spark):
     assert got[101]["lang_pred"] == "es"
 
 
+def test_language_rejects_other_texts_and_contradictions(documents, sentences):
+    langs = [lang for lang in langid.LANGUAGES for _ in range(30)]
+    texts = [sentences(lang, 40) for lang in langs]
+    junk = ["Это русский текст для проверки, он длинный", "x8Kq zPv3 Lm9w QRtY uWz7 bbXq kJh5 vvGz", "我们今天去公园散步然后回家吃饭"]
+    docs = documents([*texts, *junk], langs=[*langs, None, "xx", "ru"])
+    got = {r["doc_id"]: r["keep"] for r in langid.identify(docs).collect()}
+    assert [got[k] for k in range(len(got))] == [True] * len(langs) + [False] * len(junk)
+    assert sorted(r["doc_id"] for r in langid.keep_identified(docs).collect()) == list(range(len(langs)))
+    # two trigrams for Spanish, 4.6 in all, are outvoted by the host and the declaration
+    counts = np.full((4, 1 << langid.BUCKET_BITS), 0.0)
+    counts[:, 0] = 5000
+    for gram in langid.trigrams(b"ab"):
+        counts[:, gram] = 10
+        counts[langid.LANGUAGES.index("es"), gram] = 100
+    rows = documents(["ab", *[None] * 300], langs=["de"] * 301).withColumn("source", F.lit("one"))
+    found = {r["doc_id"]: r for r in langid.identify(rows, model=langid.TextModel(counts, 60.0)).collect()}
+    assert (found[0]["lang_pred"], found[0]["text_lang"], found[0]["keep"], found[1]["keep"]) == ("de", "es", False, True)
+    assert found[0]["confidence"] >= 0.5
+
+
 def toxic_table(documents, sentences, n=600):
     rng = random.Random(3)
     texts, labels = [], []
