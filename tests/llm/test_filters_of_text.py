@@ -123,6 +123,21 @@ def test_language_rejects_other_texts_and_contradictions(documents, sentences):
     assert found[0]["confidence"] >= 0.5
 
 
+def test_language_of_pages(spark, tmp_path, sentences):
+    rows, want = [], {}
+    for k in range(120):
+        lang = langid.LANGUAGES[k % 4]
+        said = "" if k % 10 == 0 else f' lang="{lang}-X"'
+        rows.append((k, f"https://{'m.' if k % 3 else ''}site{k % 4}.example.{lang}/p?q={k}", f"<!DOCTYPE html><HTML class='a'{said}><head><style>p {{the: th}}</style><title>T</title></head><body><p>{sentences(lang, 40)}</p></body></html>"))
+        want[k] = lang
+    rows += [(200, "https://new.site1.example.en/", None), (201, None, '<html lang="es">')]
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in queries.op4_page_language(spark, str(tmp_path)).collect()}
+    assert len(got) == 122 and {k: got[k]["lang_pred"] for k in want} == want
+    assert got[200]["lang_pred"] == "en"  # by suffix and the host's domains
+    assert got[201]["lang_pred"] == "es"  # by markup
+
+
 def toxic_table(documents, sentences, n=600):
     rng = random.Random(3)
     texts, labels = [], []

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm.shared import written
 from vecspark.llm.text import sub_batches
+from vecspark.llm.url_filter import host_and_path
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKET_BITS = 16
@@ -216,3 +217,19 @@ def keep_identified(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` that identification keeps, with their own columns."""
     found = identify(df, keep_columns=True, **options).where("keep")
     return found.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+
+
+def identify_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+    """page_id and what ``identify`` gives, of pages (page_id, url, html): text from
+    the html without tags, scripts, styles and entities, the declaration from
+    <html lang=...>, the suffix and the host from the url.
+
+    Null html has no text and declares nothing; a null url has no suffix and no host.
+    """
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(text, r"(?s)<[^>]*>|&#?\w+;", " ")
+    declared = F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([\w-]+)", 1)
+    host = F.regexp_extract(host_and_path(F.col(url_col))[0], r"^(?:[^@]*@)?([^:]*)", 1)
+    rows = pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), declared.alias("declared"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"), host.alias("host"))
+    return identify(rows, declared="declared", suffix="suffix", host="host", **options).withColumnRenamed("doc_id", "page_id")
