@@ -157,5 +157,16 @@ def test_chances_of_the_trie_sum_to_one():
         assert n == pytest.approx(1.0)
 
 
+def test_code_length_of_long_unknown_words(documents, sentences):
+    texts = [sentences("en", 30) for _ in range(20)]
+    long = ["\x01\x02" * n for n in (200, 400, 4000)]
+    ids = [i for i in range(100, 2000) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    rows = documents([*texts, *long, long[0] + " " + long[0]], ids=[*range(20), *ids])
+    got = [r["score"] for r in ppm.score(rows, parts=3).where("doc_id >= 100").orderBy("doc_id").collect()]
+    assert got[1] - got[0] == pytest.approx(got[0], rel=0.05) and got[1] < got[0] < -900
+    assert got[2] - got[0] == pytest.approx(19 * got[0], rel=0.05)
+    assert got[0] - 10 < got[3] < got[0] + 10  # the repeat is adapted to
+
+
 def test_strange_rows_of_scores(strange, empty):
     assert ppm.score(strange).count() == 6 and ppm.score(empty).count() == 0

@@ -23,7 +23,8 @@ shards of a bounded number of entries, one after another, however large it is.
 Defined cases: null and empty texts are the end token alone; a null id is not
 held out; repeated rows and ids count and are scored as documents each; without
 any training document all words are new and the trie is empty; bytes of
-any kind may be part of words.
+any kind may be part of words; the code length of a word grows with its length
+without bound.
 """
 
 from __future__ import annotations
@@ -302,8 +303,9 @@ def score(df: DataFrame, order: int = 5, strength: float = 2000.0, new_strength:
     wasted = spelling.where(c > 0).agg(F.coalesce(F.sum(F.pow(F.lit(10.0), F.col("spelling"))), F.lit(0.0))).first()[0]
     left = max(1e-6, 1 - wasted)
     known = (c - F.lit(discount)) / F.lit(max(1e-9, n - discount * v))
-    new = F.greatest(F.pow(F.lit(10.0), F.col("spelling")) / F.lit(left), F.lit(1e-290))
-    table = spelling.select("p", F.lit(0).alias("kind"), "word", "c", F.when(c > 0, known).otherwise(new).alias("chance"), F.lit(None).cast("binary").alias("data"))
+    # as logarithms, as a long word's chance is under any double
+    new = F.col("spelling") - F.lit(math.log10(left))
+    table = spelling.select("p", F.lit(0).alias("kind"), "word", "c", F.when(c > 0, F.log10(known)).otherwise(new).alias("chance"), F.lit(None).cast("binary").alias("data"))
     lists = packed.select("p", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("chance"), "data")
 
     def run(batches):
@@ -325,11 +327,12 @@ def score(df: DataFrame, order: int = 5, strength: float = 2000.0, new_strength:
                 words_, (per_word, doc, count, rows, ids, flags, sizes) = unpack(data.as_py())
                 at = np.fromiter(map(place.__getitem__, words_), dtype=np.int64, count=len(words_))
                 c_ = np.repeat(c_of[at], per_word.astype(np.int64))
-                prior = np.repeat(np.where(c_of[at] > 0, strength, new_strength) * q_of[at], per_word.astype(np.int64))
+                prior = np.repeat(np.log10(np.where(c_of[at] > 0, strength, new_strength)) + q_of[at], per_word.astype(np.int64))
                 base = count * np.log10((c_ + 0.5) / (n + 0.5 * (v + 1)))
-                gain = np.log10(prior)
+                gain = prior.copy()
                 many = np.flatnonzero(count > 1)
-                gain[many] = [(math.lgamma(a + k) - math.lgamma(a)) / math.log(10) for a, k in zip(prior[many].tolist(), count[many].tolist())]
+                # a (a + 1) ... (a + k - 1), of which only the first may be too small for a double
+                gain[many] += [rising(10.0**a + 1, k - 1) / math.log(10) for a, k in zip(prior[many].tolist(), count[many].tolist())]
                 docs_ = len(rows)
                 known_, base_, gain_ = (np.bincount(doc, x, docs_) for x in (np.where(c_ > 0, count, 0), base, gain))
                 has = np.flatnonzero(np.bincount(doc, minlength=docs_))
