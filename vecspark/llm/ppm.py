@@ -1,38 +1,36 @@
-"""Language-model scoring by prediction by partial matching.
-
-A token is predicted first by the longest context there is, the whole word as
-counted in the training documents.  From there the model escapes, with a chance
-estimated from the words that occur once and twice, to a trie of byte contexts
-within the word: the symbol is looked for after the last ``order`` bytes, then
-after one fewer, and so on.  Each escape excludes what the longer context has
-seen: the words that are known, then the symbols already seen.  The chance of an
-escape within the trie comes from how many distinct symbols a context has had.
-The trie counts each distinct word once, as a word that is new to the model is
-like those, not like the frequent ones.
-
-Within a document the model adapts: the chance of an escape, the words among
-the known ones and those among the new ones each start from the pretrained
-chances, weighed as so many tokens, and learn from the tokens so far.  The code
-length of a document then depends on its token counts alone.
-
-Counting and scoring meet by word, not by document: documents become packed
-lists of (word, document, count) for each of a number of word partitions, and a
-partition's word table is all that a task holds.  The trie is broadcast in
-shards of a bounded number of entries, one after another, however large it is.
-
-Defined cases: null and empty texts are the end token alone; a null id is not
-held out; repeated rows and ids count and are scored as documents each; without
-any training document all words are new and the trie is empty; bytes of
-any kind may be part of words; the code length of a word grows with its length
-without bound.
+"""Language-model scoring by prediction by partial matching of bytes.
+
+A text is the bytes of its words, each with a space after it, then an end byte.
+A byte is predicted from the ``order`` bytes before it, also across words: first
+among the bytes that training documents have after that context, then, by an
+escape, after one byte fewer, down to no context and at last to any byte.  An
+escape has half the weight of each distinct byte that the context has had (method
+D), and bytes that a longer context has had are excluded below it.  All counts are
+of all training documents; a document's code length is that of its whole text.
+
+The trie of contexts is never in one place.  Documents come in lots of a few MB.  A
+lot asks for each distinct window (context and byte) that its texts have, once,
+and says how often its training documents have it.  Windows go to a shard by the
+last ``SHARED`` bytes of their context, so a shard has all that longer contexts
+hold: it adds up the counts, scores each distinct window once, and answers the
+lots.  What shorter contexts hold is a table of windows of ``SHARED`` bytes, of
+which there are at most 2^24, that is broadcast.  Words are counted in the same
+way, by lots that ask and word partitions that answer, so a frequent word or
+window is one entry of a lot and no burden.  A lot then scores its documents.
+
+Defined cases: null and empty texts are the end token alone; a null id is not held
+out; repeated rows and ids count and are scored as documents each; without any
+training document all bytes are equally likely; bytes of any kind may be part of
+words; texts of any length are read whole, a long one in segments, and the code
+length grows without bound; equal texts have equal scores; an empty table gives no
+rows; only the id and text columns are read, so others of any name don't clash.
 """
 
 from __future__ import annotations
 
-import math
-import pickle
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +38,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.pairs import PairTable
-from vecspark.llm.shared import partitions, written
+from vecspark.llm.shared import by_value, fresh_path, opened, partitions, release, written
 from vecspark.llm.text import keyed_text, sub_batches
 
-BITS = 9  # of a symbol: 1 is where a word starts and ends, a byte is 2 more than itself
-EDGE = 1
-ALPHABET = 257
-#: Bytes of text whose documents are packed together.
-LOT_BYTES = 4 << 20
+#: The byte that stands before and after a text; it parts words, so no word has it.
+EDGE = b"\n"
+#: Bytes that may be predicted: neither A-Z nor white space but the space and the edge.
+ALPHABET = 226
+#: Windows of so many bytes have a table that every task gets.
+SHARED = 3
+#: Bytes of text, with 64 for each document, that are a lot: 60,000 documents at most.
+LOT_BYTES = 60_000 * 64
+#: Windows that are sorted at a time.
+SEGMENT = 6 << 20
+WORDS, WINDOWS, TEXTS, SHORT, TOTALS = range(5)
 
 
 def held_out(doc_id) -> F.Column:
@@ -56,327 +59,334 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-# Packed lists of (word, document, count).
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes; those of equal worth stand side by side."""
+    head = np.array([len(a) for a in arrays], dtype="<u8").tobytes()
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
-def pack(words: list[bytes], per_word: np.ndarray, doc: np.ndarray, count: np.ndarray, rows: np.ndarray, ids: np.ndarray, flags: np.ndarray, sizes: np.ndarray) -> bytes:
-    """``per_word`` says how many of the entries (doc, count) each word has;
-    rows, ids, flags (1: id is null, 2: held out) and sizes are of the documents."""
-    joined = b"\n".join(words)
-    head = np.array([len(words), len(joined), len(doc), len(rows)], dtype="<u4").tobytes()
-    parts = (per_word.astype("<u4"), doc.astype("<u4"), count.astype("<u4"), rows.astype("<i8"), ids.astype("<i8"), flags.astype("<u1"), sizes.astype("<u4"))
-    # bytes of equal worth side by side compress better
-    planes = [np.ascontiguousarray(p.view(np.uint8).reshape(-1, p.itemsize).T).tobytes() for p in parts]
-    return zstandard.ZstdCompressor(level=1).compress(head + joined + b"".join(planes))
-
-
-def unpack(data: bytes) -> tuple[list[bytes], list[np.ndarray]]:
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n, text, entries, docs = np.frombuffer(raw, "<u4", 4).tolist()
-    words = raw[16 : 16 + text].split(b"\n") if n else []
-    at, out = 16 + text, []
-    for kind, length in (("<u4", n), ("<u4", entries), ("<u4", entries), ("<i8", docs), ("<i8", docs), ("<u1", docs), ("<u4", docs)):
+    at, out = 8 * len(kinds), []
+    for kind, n in zip(kinds, np.frombuffer(raw, "<u8", len(kinds)).tolist()):
         size = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
-        at += size * length
-    return words, out
-
-
-def packed_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """(p, data) of ``docs`` (row, doc_id, held_out, text): for each lot of
-    documents the packed list of each word partition."""
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).reshape(-1))
+        at += size * n
+    return out
+
+
+def as_bytes(joined: bytes) -> np.ndarray:
+    return np.frombuffer(joined, dtype=np.uint8)
+
+
+# Windows of bytes.
+
+
+def lot_windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a window and a text's number, as window << 16 | number
+    in ascending order, and how often each occurs.  A window has the ``order`` bytes
+    before a byte and the byte, which is lowest; ``texts`` end with the edge."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + order
+    edge = EDGE * order
+    flat = as_bytes(edge + edge.join(texts))
+    number = np.repeat(np.arange(len(texts), dtype=np.uint16), sizes)
+    found = []
+    for at in range(0, len(flat) - order, SEGMENT):
+        end = min(at + SEGMENT, len(flat) - order)
+        code = flat[at:end].astype(np.uint64)
+        for k in range(1, order + 1):
+            code <<= np.uint64(8)
+            code |= flat[at + k : end + k]
+        code <<= np.uint64(16)
+        code |= number[at + order : end + order]
+        code = code[number[at:end] == number[at + order : end + order]]
+        code.sort()
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, dtype=np.int64)
+        found.append((code[first], np.diff(first, append=len(code))))
+    if len(found) == 1:
+        return found[0]
+    code, count = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    by = np.argsort(code, kind="stable")
+    code, count = code[by], count[by]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return code[first], np.add.reduceat(count, first)
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, dtype=np.int64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def shard_of(windows: np.ndarray, order: int, shards: int) -> np.ndarray:
+    """The shard of each window, by the bytes that its longer contexts share."""
+    shared = (windows >> np.uint64(8)) & np.uint64((1 << 8 * min(order, SHARED)) - 1)
+    return (mixed(shared) % np.uint64(shards)).astype(np.int64)
+
+
+class Level:
+    """What contexts of ``k`` bytes have had: windows (distinct, ascending) and their counts."""
+
+    def __init__(self, k: int, windows: np.ndarray, n: np.ndarray):
+        seen = n > 0
+        self.k, self.windows, self.n = k, windows[seen], n[seen].astype(np.float64)
+        context = self.windows >> np.uint64(8)
+        first = runs(context)
+        self.contexts = context[first]
+        self.group = np.repeat(np.arange(len(first)), np.diff(first, append=len(context)))
+        # the last is that of a context that isn't there
+        self.all = np.append(np.bincount(self.group, self.n, len(first)), 0.0)
+        self.distinct = np.append(np.bincount(self.group, minlength=len(first)), 0).astype(np.float64)
+
+    @classmethod
+    def of(cls, k: int, windows: np.ndarray, n: np.ndarray) -> Level:
+        """From counts of windows of ``k`` + 1 bytes or more."""
+        short, place = np.unique(windows & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        return cls(k, short, np.bincount(place, n, len(short)))
+
+    def place(self, windows: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Where ``windows`` stand in ``of``; -1: nowhere."""
+        if not len(of):
+            return np.full(len(windows), -1)
+        at = np.minimum(np.searchsorted(of, windows), len(of) - 1)
+        return np.where(of[at] == windows, at, -1)
+
+    def counts(self, windows: np.ndarray) -> np.ndarray:
+        at = self.place(windows & np.uint64((1 << 8 * (self.k + 1)) - 1), self.windows)
+        return np.append(self.n, 0.0)[at]
+
+    def context(self, windows: np.ndarray) -> np.ndarray:
+        return self.place((windows >> np.uint64(8)) & np.uint64((1 << 8 * self.k) - 1), self.contexts)
+
+
+def short_levels(windows: np.ndarray, n: np.ndarray, order: int) -> list[Level]:
+    """The levels of less than ``SHARED`` bytes, the longest first."""
+    return [Level.of(k, windows, n) for k in range(min(order, SHARED - 1), -1, -1)]
+
+
+def code_lengths(windows: np.ndarray, n: np.ndarray, short: list[Level], order: int) -> np.ndarray:
+    """log10 of the chance of each window's byte after its context, of all windows
+    of a shard (distinct) and their counts in training documents."""
+    levels = [Level.of(k, windows, n) for k in range(order, len(short) - 1, -1)] + short
+    total, left = np.zeros(len(windows)), np.ones(len(windows), dtype=bool)
+    distinct_above, all_above = np.zeros(len(windows)), np.zeros(len(windows))
+    for level, below in zip(levels, [*levels[1:], None]):
+        at = level.context(windows)
+        own = level.counts(windows)
+        all_, distinct = level.all[at] - all_above, level.distinct[at] - distinct_above
+        some = left & (distinct > 0)
+        hit, miss = some & (own > 0), some & (own == 0)
+        total[hit] += np.log10((own[hit] - 0.5) / all_[hit])
+        total[miss] += np.log10(0.5 * distinct[miss] / all_[miss])
+        left &= ~hit
+        if below is not None:
+            excluded = np.append(np.bincount(level.group, below.counts(level.windows), len(level.contexts)), 0.0)
+            all_above = excluded[at]
+        distinct_above = level.distinct[at]
+    total[left] -= np.log10(ALPHABET - distinct_above[left])
+    return total
+
+
+# Lots ask, shards and word partitions answer.
+
+
+def asked(docs: DataFrame, order: int, parts: int) -> DataFrame:
+    """(kind, p, lot, data) of ``docs`` (row, doc_id, held_out, text): what each lot
+    asks the word partitions and shards, its short windows, and its texts."""
 
     def run(batches):
         for part, texts in sub_batches(batches, limit=LOT_BYTES):
-            # the end token is the empty word
-            tokens = [[*t.lower().split(), b""] for t in texts]
+            lot = part.column(0)[0].as_py()
+            ids, held = part.column(1).to_pylist(), np.array(part.column(2).to_pylist(), dtype=bool)
+            tokens = [[*t.lower().split(), b""] for t in texts]  # the end token is the empty word
+            rows: list[tuple[int, int, bytes]] = []
             words = list(set().union(*tokens))
-            own = np.fromiter((zlib.crc32(w) % parts for w in words), dtype=np.int64, count=len(words))
+            own = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % parts
             by = np.argsort(own, kind="stable")
             words = [words[i] for i in by.tolist()]
             place = dict(zip(words, range(len(words))))
             sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-            flat = np.empty(int(sizes.sum()), dtype=np.int64)
-            at = 0
-            for ts in tokens:
-                flat[at : at + len(ts)] = [place[t] for t in ts]
-                at += len(ts)
-            entry, count = np.unique(flat * len(tokens) + np.repeat(np.arange(len(tokens)), sizes), return_counts=True)
-            word, doc = np.divmod(entry, len(tokens))
-            ids = part.column(1).to_pylist()
-            flags = np.array([(i is None) | h << 1 for i, h in zip(ids, part.column(2).to_pylist())], dtype=np.uint8)
-            meta = (part.column(0).to_numpy(), np.array([i or 0 for i in ids], dtype=np.int64), flags, sizes)
-            word_cut = np.searchsorted(own[by], np.arange(parts + 1))
-            entry_cut = np.searchsorted(word, word_cut)
-            per_word = np.bincount(word, minlength=len(words))
-            out: tuple[list, list] = ([], [])
-            for p in range(parts):
-                a, b = word_cut[p : p + 2].tolist()
-                c, d = entry_cut[p : p + 2].tolist()
-                if a < b:
-                    out[0].append(p)
-                    out[1].append(pack(words[a:b], per_word[a:b], doc[c:d], count[c:d], *meta))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["p", "data"])
-
-    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, "p int, data binary")
-
-
-def word_counts(packed: DataFrame, parts: int) -> DataFrame:
-    """(p, word, c): each word with its count in documents that aren't held out."""
+            flat = np.fromiter(map(place.__getitem__, chain.from_iterable(tokens)), dtype=np.int64, count=int(sizes.sum()))
+            del place
+            flat = flat << 16 | np.repeat(np.arange(len(tokens)), sizes)
+            flat.sort()
+            first = runs(flat)
+            word, doc, count = flat[first] >> 16, flat[first] & 0xFFFF, np.diff(first, append=len(flat))
+            taught = np.bincount(word, np.where(held[doc], 0, count), len(words)).astype("<u4")
+            cut = np.searchsorted(own[by], np.arange(parts + 1)).tolist()
+            rows += [(WORDS, p, pack(as_bytes(EDGE.join(words[a:b])), taught[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+            streams = [b" ".join(t) + EDGE for t in tokens]
+            about = [np.array([i or 0 for i in ids], dtype="<i8"), np.array([(i is None) | h << 1 for i, h in zip(ids, held.tolist())], dtype="<u1"), sizes.astype("<u4")]
+            lengths = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams)).astype("<u8")
+            texts_ = as_bytes(b"".join(streams))
+            rows.append((TEXTS, 0, pack(*about, lengths, texts_, np.bincount(word, minlength=len(words)).astype("<u4"), doc.astype("<u2"), count.astype("<u4"))))
+            del tokens, words, flat, first, word, doc, texts_
+            pairs, count = lot_windows(streams, order)
+            first = runs(pairs >> np.uint64(16))
+            windows = pairs[first] >> np.uint64(16)
+            taught = np.add.reduceat(np.where(held[(pairs & np.uint64(0xFFFF)).astype(np.int64)], 0, count), first)
+            del pairs, count, streams
+            short, at = np.unique(windows & np.uint64((1 << 8 * min(SHARED, order + 1)) - 1), return_inverse=True)
+            rows.append((SHORT, 0, pack(short.astype("<u4"), np.bincount(at, taught).astype("<u8"))))
+            own = shard_of(windows, order, parts)
+            by = np.argsort(own, kind="stable")
+            windows, taught = windows[by], taught[by].astype("<u4")
+            cut = np.searchsorted(own[by], np.arange(parts + 1)).tolist()
+            rows += [(WINDOWS, p, pack(np.diff(windows[a:b], prepend=np.uint64(0)), taught[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+            for at in range(0, len(rows), 64):
+                some = rows[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([x[1] for x in some], pa.int32()), pa.array([lot] * len(some), pa.int64()), pa.array([x[2] for x in some], pa.binary())], ["kind", "p", "lot", "data"])
+        release()
 
-    def run(batches):
-        p, counts = None, {}
+    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, ASKED)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            words = list(counts)
-            for at in range(0, len(words), 100_000):
-                some = words[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(some), pa.int32()), pa.array(some, pa.binary()), pa.array([counts[w] for w in some], pa.int64())], ["p", "word", "c"])
 
-        for batch in batches:
-            for own, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if own != p:
-                    yield from out()
-                    p, counts = own, {}
-                words, (per_word, doc, count, _, _, flags, _) = unpack(data.as_py())
-                seen = np.where(flags[doc] & 2, 0, count.astype(np.int64))
-                sums = np.add.reduceat(seen, np.cumsum(per_word, dtype=np.int64) - per_word).tolist()
-                for w, c in zip(words, sums):
-                    counts[w] = counts.get(w, 0) + c
-        yield from out()
-
-    return packed.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(run, "p int, word binary, c long")
-
-
-# The trie of byte contexts.
-
-
-def windows(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each symbol of each word: the word's number, the packed symbols of its
-    longest context (oldest first), and how many these are; then the symbol itself
-    is the lowest of the packed ones."""
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
-    ends = np.cumsum(lengths)
-    flat = np.full(int(ends[-1]) if len(ends) else 0, EDGE, dtype=np.int64)
-    inner = np.ones(len(flat), dtype=bool)
-    inner[ends - 1] = inner[ends - lengths] = False
-    flat[inner] = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64) + 2
-    owner = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(flat)) - (ends - lengths)[owner]
-    code = flat.copy()
-    for back in range(1, order + 1):
-        has = place >= back
-        code[has] |= flat[np.flatnonzero(has) - back] << (BITS * back)
-    target = place > 0
-    return owner[target], code[target], np.minimum(place[target], order)
-
-
-def tagged(code: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    """Packed symbols with the number of context symbols above them."""
-    return code | (np.asarray(length, dtype=np.int64) + 1) << 58
-
-
-def trie_counts(words: DataFrame, order: int) -> DataFrame:
-    """(code, n) of every context of up to ``order`` bytes and symbol after it
-    in the words that training has."""
+ASKED = "kind int, p int, lot long, data binary"
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(first column, rows) of each run of equal values of the first column."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and row[0] != key:
+                yield key, held
+                held = []
+            key = row[0]
+            held.append(row)
+    if held:
+        yield key, held
+
+
+def answer(kind: int, p: int, lot: int | None, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([p], pa.int32()), pa.array([lot], pa.int64()), pa.array([data], pa.binary())], ["kind", "p", "lot", "data"])
+
+
+def word_answers(lists: DataFrame, parts: int) -> DataFrame:
+    """For each list of words the training counts of its words, and for each
+    partition its totals (all tokens, distinct words)."""
 
     def run(batches):
-        for batch in batches:
-            _, code, length = windows([w.as_py() for w in batch.column(0)], order)
-            codes = [tagged(code[length >= o] & (1 << BITS * (o + 1)) - 1, o) for o in range(order + 1)]
-            found, n = np.unique(np.concatenate(codes), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["code", "n"])
-
-    return words.where("c > 0").select("word").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Trie:
-    """Counts of symbols after contexts, and of each context: all symbols' (n),
-    distinct ones (q), and what its symbols have in the next shorter one (s)."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray, order: int):
-        self.order = order
-        self.code, self.n = code, n.astype(np.float64)
-        self.find: PairTable | None = None
-
-    def open(self) -> None:
-        length = (self.code >> 58) - 1
-        symbols = self.code & (1 << 58) - 1
-        self.find = PairTable(self.code, 2)
-        shorter = tagged(symbols & (1 << BITS * np.maximum(length, 0)) - 1, length - 1)
-        at = self.find.find(np.where(length > 0, shorter, -2))
-        below = np.where(at >= 0, self.n[at], 0.0)
-        context, group = np.unique(tagged(symbols >> BITS, length), return_inverse=True)
-        self.contexts = PairTable(context, 2)
-        self.all = np.append(np.bincount(group, self.n, len(context)), 0.0)
-        self.distinct = np.append(np.bincount(group, minlength=len(context)), 0.0)
-        self.below = np.append(np.bincount(group, below, len(context)), 0.0)
-
-    def log10(self, code: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Of the chance of each symbol after its context."""
-        total = np.zeros(len(code))
-        open_ = np.ones(len(code), dtype=bool)
-        q_above, s_above = np.zeros(len(code)), np.zeros(len(code))
-        for o in range(self.order, -1, -1):
-            i = np.flatnonzero(open_ & (length >= o))
-            symbols = code[i] & (1 << BITS * (o + 1)) - 1
-            context = self.contexts.find(tagged(symbols >> BITS, o))  # -1 is the last: nothing
-            n, q = self.all[context] - s_above[i], self.distinct[context] - q_above[i]
-            at = self.find.find(tagged(symbols, o))
-            hit, miss = (at >= 0) & (q > 0), (at < 0) & (q > 0)
-            total[i[hit]] += np.log10((self.n[at[hit]] - 0.5) / n[hit])
-            total[i[miss]] += np.log10(0.5 * q[miss] / n[miss])
-            open_[i[hit]] = False
-            q_above[i], s_above[i] = self.distinct[context], self.below[context]
-        i = np.flatnonzero(open_)
-        total[i] -= np.log10(ALPHABET - q_above[i])
-        return total
-
-
-def spelled(words: DataFrame, counts: DataFrame, order: int, shard_entries: int) -> DataFrame:
-    """(p, word, c, spelling): the log10 chance of each word by its bytes.
-
-    The trie is dealt into shards by the last symbol of the context, which all
-    contexts of a symbol but the empty one share; each is broadcast in its turn.
-    """
-    last = F.shiftright("code", BITS).bitwiseAND(F.lit((1 << BITS) - 1))
-    empty = F.shiftright("code", 58) == 1
-    counts = written(counts.select("code", "n", F.when(empty, 0).otherwise(last).cast("int").alias("last")), "trie")
-    sizes = {r["last"]: r["count"] for r in counts.groupBy("last").count().collect()}  # 258 rows at most
-    shards: list[list[int]] = [[]]
-    held = 0
-    for symbol in sorted(set(range(1, (1 << BITS))) & set(sizes) | {EDGE}):
-        if shards[-1] and held + sizes.get(symbol, 0) > shard_entries:
-            shards.append([])
-            held = 0
-        shards[-1].append(symbol)
-        held += sizes.get(symbol, 0)
-    spark, parts = words.sparkSession, []
-    for k, symbols in enumerate(shards):
-        # symbols without an entry are in the first shard, where only the empty context speaks
-        mine = np.zeros(1 << BITS, dtype=bool)
-        mine[symbols] = True
-        if k == 0:
-            mine[[s for s in range(1 << BITS) if s not in sizes]] = True
-        table = counts.where(F.col("last").isin(0, *symbols)).select("code", "n").toArrow()
-        shared = spark.sparkContext.broadcast(Trie(table["code"].to_numpy(), table["n"].to_numpy(), order))
-
-        def run(batches, shared=shared, mine=mine):
-            trie = shared.value
-            if trie.find is None:
-                trie.open()
-            for batch in batches:
-                owner, code, length = windows([w.as_py() for w in batch.column(1)], order)
-                chosen = mine[code >> BITS & (1 << BITS) - 1]
-                owner, code, length = owner[chosen], code[chosen], length[chosen]
-                one, where = np.unique(tagged(code, length), return_inverse=True)
-                chance = trie.log10(one & (1 << 58) - 1, (one >> 58) - 1)[where]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.bincount(owner, chance, batch.num_rows), pa.float64())], ["p", "word", "c", "spelling"])
-
-        parts.append(words.mapInArrow(run, "p int, word binary, c long, spelling double"))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("p", "word", "c").agg(F.sum("spelling").alias("spelling"))
-
-
-def score(df: DataFrame, order: int = 5, strength: float = 2000.0, new_strength: float = 300.0, escape_strength: float = 10.0, shard_entries: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", parts: int = 24) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
+        for p, rows in grouped(batches):
+            counts: dict[bytes, int] = {}
+            for _, _, data in rows:
+                text, taught = unpack(data, "u1", "<u4")
+                for w, n in zip(text.tobytes().split(EDGE), taught.tolist()):
+                    counts[w] = counts.get(w, 0) + n
+            for _, lot, data in rows:
+                words = unpack(data, "u1", "<u4")[0].tobytes().split(EDGE)
+                yield answer(WORDS, p, lot, pack(np.fromiter(map(counts.__getitem__, words), dtype="<u8", count=len(words))))
+            yield answer(TOTALS, p, None, pack(np.array([sum(counts.values()), sum(n > 0 for n in counts.values())], dtype="<u8")))
+        release()
 
-    ``parts`` is the number of word partitions; a task holds one's words, some
-    hundred bytes each, so it follows the vocabulary and not the documents.
-    """
-    spark = df.sparkSession
-    docs = keyed_text(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    packed = written(packed_counts(docs, parts), "packed-counts")
-    words = written(word_counts(packed, parts), "word-counts")
-    c = F.col("c")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(c > 0).alias("v"), F.count_if(c == 1).alias("one"), F.count_if(c == 2).alias("two")).first()
-    n, v = total["n"], total["v"]
-    discount = min(0.9, max(0.1, (total["one"] + 0.5) / (total["one"] + 2 * total["two"] + 1)))
-    escape = min(0.999, max(1e-6, discount * v / n)) if n else 0.999
-    spelling = written(spelled(words, trie_counts(words, order), order, shard_entries), "spelled-words")
-    # what spelling gives to known words is taken out, as an escape excludes them
-    wasted = spelling.where(c > 0).agg(F.coalesce(F.sum(F.pow(F.lit(10.0), F.col("spelling"))), F.lit(0.0))).first()[0]
-    left = max(1e-6, 1 - wasted)
-    known = (c - F.lit(discount)) / F.lit(max(1e-9, n - discount * v))
-    # as logarithms, as a long word's chance is under any double
-    new = F.col("spelling") - F.lit(math.log10(left))
-    table = spelling.select("p", F.lit(0).alias("kind"), "word", "c", F.when(c > 0, F.log10(known)).otherwise(new).alias("chance"), F.lit(None).cast("binary").alias("data"))
-    lists = packed.select("p", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("chance"), "data")
+    return lists.select("p", "lot", "data").repartition(parts, "p").sortWithinPartitions("p", "lot").mapInArrow(run, ASKED)
+
+
+def window_answers(lists: DataFrame, short: tuple[np.ndarray, np.ndarray], order: int, parts: int) -> DataFrame:
+    """For each list of windows the log10 chances of their bytes."""
+    shared = by_value(lists.sparkSession, short)
 
     def run(batches):
-        p, place, counts, chances = None, {}, [], []
-        c_of = q_of = None
-        zip_ = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for own, kind, word, count_, chance_, data in zip(*batch.columns):
-                own = own.as_py()
-                if own != p:
-                    p, place, counts, chances, c_of = own, {}, [], [], None
-                if kind.as_py() == 0:
-                    place[word.as_py()] = len(counts)
-                    counts.append(count_.as_py())
-                    chances.append(chance_.as_py())
-                    continue
-                if c_of is None:
-                    c_of, q_of = np.array(counts, dtype=np.int64), np.array(chances)
-                words_, (per_word, doc, count, rows, ids, flags, sizes) = unpack(data.as_py())
-                at = np.fromiter(map(place.__getitem__, words_), dtype=np.int64, count=len(words_))
-                c_ = np.repeat(c_of[at], per_word.astype(np.int64))
-                prior = np.repeat(np.log10(np.where(c_of[at] > 0, strength, new_strength)) + q_of[at], per_word.astype(np.int64))
-                base = count * np.log10((c_ + 0.5) / (n + 0.5 * (v + 1)))
-                gain = prior.copy()
-                many = np.flatnonzero(count > 1)
-                # a (a + 1) ... (a + k - 1), of which only the first may be too small for a double
-                gain[many] += [rising(10.0**a + 1, k - 1) / math.log(10) for a, k in zip(prior[many].tolist(), count[many].tolist())]
-                docs_ = len(rows)
-                known_, base_, gain_ = (np.bincount(doc, x, docs_) for x in (np.where(c_ > 0, count, 0), base, gain))
-                has = np.flatnonzero(np.bincount(doc, minlength=docs_))
-                # what the documents are comes along once, with the end token's partition
-                about = [rows, ids, flags, sizes] if b"" in words_ else None
-                out = pickle.dumps((has, known_[has].astype(np.int64), base_[has], gain_[has], about), protocol=5)
-                yield pa.RecordBatch.from_arrays([pa.array([int(rows[0])], pa.int64()), pa.array([zip_.compress(out)], pa.binary())], ["lot", "sums"])
-
-    def finish(batches):
-        unzip, lot, held = zstandard.ZstdDecompressor(), None, []
-
-        def out() -> pa.RecordBatch:
-            rows, ids, flags, sizes = next(x[4] for x in held if x[4] is not None)
-            known_, base_, gain_ = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows)), np.zeros(len(rows))
-            for has, a, b, c, _ in held:
-                known_[has] += a
-                base_[has] += b
-                gain_[has] += c
-            scores = []
-            for size, k, g in zip(sizes.tolist(), known_.tolist(), gain_.tolist()):
-                learned = rising(strength, k) + rising(new_strength, size - k) + rising(escape_strength, size)
-                scores.append(g + (rising(escape_strength * escape, size - k) + rising(escape_strength * (1 - escape), k) - learned) / math.log(10))
+        levels = None
+        for p, rows in grouped(batches):
+            levels = levels or short_levels(*opened(shared), order)
+            found = np.empty(0, dtype=np.uint64)
+            held: list[np.ndarray] = []
+            for at, (_, _, data) in enumerate(rows):
+                held.append(np.cumsum(unpack(data, "<u8", "<u4")[0], dtype=np.uint64))
+                if sum(map(len, held)) > max(1 << 20, len(found)) or at + 1 == len(rows):
+                    found, held = np.unique(np.concatenate([found, *held])), []
+            n = np.zeros(len(found), dtype=np.int64)
+            for _, _, data in rows:
+                steps, taught = unpack(data, "<u8", "<u4")
+                n[np.searchsorted(found, np.cumsum(steps, dtype=np.uint64))] += taught
+            chances = code_lengths(found, n, levels, order).astype("<f4")
+            for _, lot, data in rows:
+                yield answer(WINDOWS, p, lot, pack(chances[np.searchsorted(found, np.cumsum(unpack(data, "<u8", "<u4")[0], dtype=np.uint64))]))
+        release()
+
+    return lists.select("p", "lot", "data").repartition(parts, "p").sortWithinPartitions("p", "lot").mapInArrow(run, ASKED)
+
+
+def scored(answers: DataFrame, texts: DataFrame, order: int, parts: int, tokens: int, distinct: int) -> DataFrame:
+    """The rows of all lots, from their texts and what they were answered."""
+    share = float(np.log10(tokens + 0.5 * (distinct + 1)))
+
+    def run(batches):
+        for _, rows in grouped(batches):
+            replies: dict[int, list] = {WORDS: [], WINDOWS: [], TEXTS: []}
+            for _, kind, _, data in rows:  # in the order of kinds and partitions
+                replies[kind].append(data)
+            ids, flags, sizes, lengths, flat, per_word, doc, count = unpack(replies[TEXTS][0], "<i8", "<u1", "<u4", "<u8", "<u1", "<u4", "<u2", "<u4")
+            of_word = np.concatenate([unpack(x, "<u8")[0] for x in replies[WORDS]]).astype(np.int64)
+            c = np.repeat(of_word, per_word.astype(np.int64))
+            known = np.bincount(doc, np.where(c > 0, count, 0), len(ids))
+            base = np.bincount(doc, count * np.log10(c + 0.5), len(ids)) - sizes * share
+            ends, raw = np.cumsum(lengths.astype(np.int64)), flat.tobytes()
+            streams = [raw[a:b] for a, b in zip((ends - lengths.astype(np.int64)).tolist(), ends.tolist())]
+            del flat, raw, of_word, c, per_word, doc, count
+            pairs, count = lot_windows(streams, order)
+            window = pairs >> np.uint64(16)
+            first = runs(window)
+            by = np.argsort(shard_of(window[first], order, parts), kind="stable")
+            chance = np.empty(len(first))
+            chance[by] = np.concatenate([unpack(x, "<f4")[0] for x in replies[WINDOWS]])
+            of_pair = np.repeat(chance, np.diff(first, append=len(pairs)))
+            score = np.bincount((pairs & np.uint64(0xFFFF)).astype(np.int64), of_pair * count, len(ids))
             null = (flags & 1).astype(bool)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64(), mask=null), pa.array((flags & 2) > 0), pa.array(sizes.astype(np.int64)), pa.array(known_), pa.array(base_), pa.array(scores, pa.float64())],
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64(), mask=null), pa.array((flags & 2) > 0), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
+        release()
+
+    both = answers.where(F.col("kind") != TOTALS).unionByName(texts)
+    by_lot = both.select("lot", "kind", "p", "data").repartition(partitions(both.sparkSession), "lot").sortWithinPartitions("lot", "kind", "p")
+    return by_lot.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+def short_windows(lists: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of all short windows, 2^24 at most, on the driver."""
 
+    def run(batches):
         for batch in batches:
-            for own, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if held and own != lot:
-                    yield out()
-                    held = []
-                lot = own
-                held.append(pickle.loads(unzip.decompress(data.as_py())))
-        if held:
-            yield out()
-
-    sums = table.unionByName(lists).repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(run, "lot long, sums binary")
-    by_lot = sums.repartition(partitions(spark), "lot").sortWithinPartitions("lot")
-    done = by_lot.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def rising(a: float, k: int) -> float:
-    """Natural logarithm of a (a + 1) ... (a + k - 1)."""
-    return math.lgamma(a + k) - math.lgamma(a)
+            for data in batch.column(0):
+                code, n = unpack(data.as_py(), "<u4", "<u8")
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+
+    found = lists.select("data").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = found["code"].to_numpy().astype(np.uint64), found["n"].to_numpy()
+    by = np.argsort(code)
+    return code[by], n[by]
+
+
+def score(df: DataFrame, order: int = 5, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
+
+    ``order`` is 5 at most, as a window and its document are one number.  ``parts``
+    is the number of shards and of word partitions, by default a third of the
+    shuffle partitions: it follows the input, and a task holds one part's lists.
+    """
+    if not 0 <= order <= 5:
+        raise ValueError("order is 0 to 5")
+    spark = df.sparkSession
+    parts = parts or max(4, partitions(spark) // 3)
+    docs = keyed_text(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    path = fresh_path(spark, "asked")
+    asked(docs, order, parts).write.partitionBy("kind").parquet(path)
+
+    def of(kind: int) -> DataFrame:
+        return spark.read.schema(ASKED).option("basePath", path).parquet(path).where(F.col("kind") == kind)
+
+    words = written(word_answers(of(WORDS), parts), "word-answers")
+    # a row a partition
+    totals = [unpack(bytes(r["data"]), "<u8")[0].tolist() for r in words.where(F.col("kind") == TOTALS).select("data").collect()]
+    tokens, distinct = (sum(x[k] for x in totals) for k in (0, 1))
+    windows = window_answers(of(WINDOWS), short_windows(of(SHORT)), order, parts)
+    done = scored(words.unionByName(windows), of(TEXTS), order, parts, tokens, distinct)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -3,17 +3,48 @@ lineage so that a lost executor costs a re-read and nothing more."""
 
 from __future__ import annotations
 
+import ctypes
+import pickle
 import tempfile
 import uuid
+from typing import Any
 
+import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def by_value(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast of ``value`` with its classes, so that workers need no copy of
+    this repository; ``opened`` gives the value back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast) -> Any:
+    """What ``by_value`` was given, made once in each worker."""
+    held = shared.__dict__
+    if "_opened" not in held:
+        held["_opened"] = pickle.loads(shared.value)
+    return held["_opened"]
+
+
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system, as workers
+    stay for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; only where it is unset, as
-    in tests on one machine, a temporary folder is made and set."""
+    """spark.checkpoint.dir as the cluster names it; only where it is unset and
+    all runs on one machine, as in tests, a temporary folder is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(spark.sparkContext, "_own_shared_folder", None)
         if not folder:
             folder = spark.sparkContext._own_shared_folder = "file://" + tempfile.mkdtemp(prefix="shared-")
