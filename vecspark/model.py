@@ -43,6 +43,10 @@ class ConfigMismatch(VectorError):
     code = 409
 
 
+class WriterBusy(VectorError):
+    code = 409
+
+
 class NotFound(VectorError):
     code = 404
 
@@ -107,6 +111,11 @@ POINT = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector
 MUTATION = T.StructType([*POINT.fields, T.StructField("op", T.StringType()), T.StructField("sequence", T.LongType()), T.StructField("ordinal", T.IntegerType())])
 
 
+#: What a segment has besides: the codes of upserted vectors, for the scan of candidates.
+CODES = T.StructType([T.StructField("codes", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("squared", T.DoubleType())])
+SEGMENT = T.StructType([*MUTATION.fields, *CODES.fields])
+
+
 @dataclass(frozen=True)
 class Value:
     kind: str

@@ -102,7 +102,7 @@ class Graph:
             found = self._beam(q, at, width, level)
             most = self.m * (2 if level == 0 else 1)
             links = self.levels[level]
-            links[node] = self._spread(node, found, self.m)
+            links[node] = self._spread(node, found, most)
             for n in links[node]:
                 back = links.setdefault(n, [])
                 back.append(node)
@@ -132,7 +132,8 @@ class Graph:
             links[f"n{k}"] = nodes[k]
             links[f"c{k}"] = np.array([len(level[n]) for n in nodes[k].tolist()], dtype=np.int32)
             links[f"l{k}"] = np.array([x for n in nodes[k].tolist() for x in level[n]], dtype=np.int32)
-        np.savez(out, x=self.x, ids=np.frombuffer("\n".join(self.ids).encode(), dtype=np.uint8), head=np.array([self.m, self.start, len(self.levels)]), **links)
+        ids = [i.encode() for i in self.ids]
+        np.savez(out, x=self.x, ids=np.frombuffer(b"".join(ids), dtype=np.uint8), ends=np.cumsum([0, *map(len, ids)]), head=np.array([self.m, self.start, len(self.levels)]), **links)
         return out.getvalue()
 
     @classmethod
@@ -140,7 +141,8 @@ class Graph:
         held = np.load(io.BytesIO(data))
         out = cls.__new__(cls)
         out.m, out.start, levels = held["head"].tolist()
-        out.ids, out.x, out.metric = held["ids"].tobytes().decode().split("\n"), held["x"], metric
+        text, ends = held["ids"].tobytes(), held["ends"].tolist()
+        out.ids, out.x, out.metric = [text[a:b].decode() for a, b in zip(ends, ends[1:])], held["x"], metric
         out.levels = []
         for k in range(levels):
             ends = np.cumsum(held[f"c{k}"])[:-1]
@@ -175,4 +177,19 @@ def ann(graphs: DataFrame, points: DataFrame, queries: list[tuple[object, Sequen
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["qid", "id", "score"])
 
     found = search.top_by_query(graphs.select("graph").mapInArrow(run, "qid string, id string, score double"), 4 * k)
-    return search.rescore(found, points, queries, k, metric)
+    return search.rescore(found, points, queries, k, metric, 4 * k)
+
+
+def statistics(graphs: DataFrame) -> DataFrame:
+    """part, nodes, layers, links and bytes of each graph."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data in zip(batch.column(0), batch.column(1)):
+                data = data.as_py()
+                graph = Graph.unpack(data, Metric.DOT)
+                links = sum(len(to) for level in graph.levels for to in level.values())
+                values = (len(graph.ids), len(graph.levels), links, len(data))
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), *[pa.array([v], pa.int64()) for v in values]], ["part", "nodes", "layers", "links", "bytes"])
+
+    return graphs.select("part", "graph").mapInArrow(run, "part int, nodes long, layers long, links long, bytes long")

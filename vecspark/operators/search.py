@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecspark.functions import vectors as V
 from vecspark.functions.filters import Filter, MatchAll, compile_filter
-from vecspark.model import InvalidArgument, InvalidDimension, InvalidVector, Metric
+from vecspark.model import CODES, InvalidArgument, InvalidDimension, InvalidVector, Metric
 
 #: Queries that are held against all points at a time.
 QUERY_BLOCK = 256
@@ -101,27 +102,28 @@ def scores_of(metric: Metric, x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def batch_gemm(points: DataFrame, queries: list[tuple[object, Sequence[float]]], k: int, metric: Metric, block: int = QUERY_BLOCK) -> DataFrame:
     """The same by matrix products of Arrow batches; a batch gives its own k best
     (and ties) of each query, of which a window takes the k best of all."""
-    spark = points.sparkSession
-    prepared = [(qid, prepare_query(q, metric)) for qid, q in queries]
-    found = None
-    for at in range(0, len(prepared), block):
-        some = prepared[at : at + block]
-        shared = spark.sparkContext.broadcast(([str(qid) for qid, _ in some], np.stack([q for _, q in some])))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared):
-            qids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                scores = scores_of(metric, matrix(batch.column(1)), q)
-                row, col = np.nonzero(best_of_batch(scores, k))
-                yield pa.RecordBatch.from_arrays([pa.array([qids[c] for c in col], pa.string()), batch.column(0).take(pa.array(row)), pa.array(scores[row, col])], ["qid", "id", "score"])
-
-        part = points.select("id", "vector").mapInArrow(run, "qid string, id string, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if not queries:
         raise InvalidArgument("there is at least one query")
-    return top_by_query(found, k)
+    shared = points.sparkSession.sparkContext.broadcast(([str(qid) for qid, _ in queries], np.stack([prepare_query(q, metric) for _, q in queries])))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        qids, all_ = shared.value
+        for batch in batches:
+            x = matrix(batch.column(1))
+            for at in range(0, len(all_) if len(x) else 0, block):
+                scores = scores_of(metric, x, all_[at : at + block])
+                yield _hits(qids, at, batch.column(0), scores, k)
+
+    return top_by_query(points.select("id", "vector").mapInArrow(run, HITS), k)
+
+
+HITS = "qid string, id string, score double"
+
+
+def _hits(qids: list[str], at: int, ids: pa.Array, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """What may be among the k best of scores (rows by queries, of which the first is number ``at``)."""
+    row, col = np.nonzero(best_of_batch(scores, k))
+    return pa.RecordBatch.from_arrays([pa.array([qids[at + c] for c in col.tolist()], pa.string()), ids.take(pa.array(row)), pa.array(scores[row, col].astype(np.float64))], ["qid", "id", "score"])
 
 
 # Quantised search.
@@ -141,56 +143,75 @@ def quantize_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, squared
 
 
-def with_codes(points: DataFrame) -> DataFrame:
-    """Points with their codes (binary), scale and squared norm, for the scan of candidates."""
-    fields = "codes binary, scale float, squared double"
+def with_codes(points: DataFrame, keep: bool = False) -> DataFrame:
+    """Points with their codes (binary), scale and squared norm, for the scan of
+    candidates; with ``keep`` next to all their columns, null where there is no vector."""
+    points = points if keep else points.select("id", "vector")
+    held = [f for f in points.schema.fields if keep or f.name == "id"]
 
     def run(batches):
         for batch in batches:
-            codes, scale, squared = quantize_array(matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in codes], pa.binary()), pa.array(scale, pa.float32()), pa.array(squared)], ["id", "codes", "scale", "squared"])
+            vectors = batch.column(batch.schema.get_field_index("vector"))
+            has = vectors.is_valid()
+            x = matrix(vectors.filter(has))
+            codes, scale, squared = quantize_array(x) if len(x) else (np.empty((0, 0), np.int8), np.empty(0, np.float32), np.empty(0))
+            there = has.to_numpy(zero_copy_only=False)
+            place = pa.array(np.cumsum(there) - 1, mask=~there)
+            made = [pa.array([row.tobytes() for row in codes], pa.binary()), pa.array(scale, pa.float32()), pa.array(squared, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in held], *[c.take(place) for c in made]], [*[f.name for f in held], "codes", "scale", "squared"])
 
-    return points.select("id", "vector").mapInArrow(run, f"id string, {fields}")
+    return points.mapInArrow(run, T.StructType([*held, *CODES.fields]))
 
 
-def candidates_int8(coded: DataFrame, queries: list[tuple[object, Sequence[float]]], n: int, metric: Metric) -> DataFrame:
+def candidates_int8(coded: DataFrame, queries: list[tuple[object, Sequence[float]]], n: int, metric: Metric, block: int = QUERY_BLOCK) -> DataFrame:
     """qid, id and score by codes of the n best candidates of each query; reads codes only."""
     prepared = [(str(qid), prepare_query(q, metric)) for qid, q in queries]
     shared = coded.sparkSession.sparkContext.broadcast(([qid for qid, _ in prepared], quantize_array(np.stack([q for _, q in prepared]))))
 
     def run(batches):
         qids, (q_codes, q_scale, q_squared) = shared.value
+        # products of up to 127^2 a component: sums of 1,024 of them are exact in floats, of 2^39 in doubles
+        kind = np.float32 if q_codes.shape[1] <= 1024 else np.float64
+        q_codes = q_codes.astype(kind)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int8).reshape(batch.num_rows, -1)
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int8).reshape(batch.num_rows, -1).astype(kind)
             scale = batch.column(2).to_numpy().astype(np.float64)
             squared = batch.column(3).to_numpy()
-            # integers up to 127^2 a component are exact in doubles
-            product = codes.astype(np.float64) @ q_codes.T.astype(np.float64) * scale[:, None] * q_scale.astype(np.float64)
-            if metric == Metric.COSINE:
-                lengths = np.sqrt(squared[:, None] * q_squared)
-                product = np.divide(product, lengths, out=np.zeros_like(product), where=lengths > 0)
-            elif metric == Metric.EUCLIDEAN:
-                product = -np.maximum(0.0, squared[:, None] + q_squared - 2 * product)
-            row, col = np.nonzero(best_of_batch(product, n))
-            yield pa.RecordBatch.from_arrays([pa.array([qids[c] for c in col], pa.string()), batch.column(0).take(pa.array(row)), pa.array(product[row, col])], ["qid", "id", "score"])
+            for at in range(0, len(q_codes), block):
+                some = slice(at, at + block)
+                product = (codes @ q_codes[some].T).astype(np.float64) * scale[:, None] * q_scale[some].astype(np.float64)
+                if metric == Metric.COSINE:
+                    lengths = np.sqrt(squared[:, None] * q_squared[some])
+                    product = np.divide(product, lengths, out=np.zeros_like(product), where=lengths > 0)
+                elif metric == Metric.EUCLIDEAN:
+                    product = -np.maximum(0.0, squared[:, None] + q_squared[some] - 2 * product)
+                yield _hits(qids, at, batch.column(0), product, n)
+
+    return top_by_query(coded.select("id", "codes", "scale", "squared").mapInArrow(run, HITS), n)
+
 
-    return top_by_query(coded.select("id", "codes", "scale", "squared").mapInArrow(run, "qid string, id string, score double"), n)
+#: Candidates that are broadcast at most; more are dealt out with the points' vectors.
+BROADCAST_CANDIDATES = 1_000_000
 
 
-def rescore(candidates: DataFrame, points: DataFrame, queries: list[tuple[object, Sequence[float]]], k: int, metric: Metric) -> DataFrame:
-    """The k best of each query among candidates (qid, id), by full-precision scores."""
+def rescore(candidates: DataFrame, points: DataFrame, queries: list[tuple[object, Sequence[float]]], k: int, metric: Metric, width: int | None = None) -> DataFrame:
+    """The k best of each query among candidates (qid, id), by full-precision scores;
+    ``width`` is how many candidates a query has at most, if that is known."""
     rows = [(str(qid), prepare_query(q, metric).tolist()) for qid, q in queries]
     q = points.sparkSession.createDataFrame(rows, "qid string, query array<double>")
-    held = candidates.select("qid", "id").distinct().join(points.select("id", "vector"), "id").join(F.broadcast(q), "qid")
+    wanted = candidates.select("qid", "id").distinct()
+    if width is not None and width * len(rows) <= BROADCAST_CANDIDATES:
+        wanted = F.broadcast(wanted)
+    held = points.select("id", "vector").join(wanted, "id").join(F.broadcast(q), "qid")
     return top_by_query(held.select("qid", "id", V.score(metric, F.col("vector"), F.col("query")).alias("score")), k)
 
 
 def ann_int8(points: DataFrame, queries: list[tuple[object, Sequence[float]]], k: int, metric: Metric, oversample: int = 4, coded: DataFrame | None = None) -> DataFrame:
     """Candidates by codes, ``oversample`` times as many as asked for, rescored in full."""
     coded = with_codes(points) if coded is None else coded
-    return rescore(candidates_int8(coded, queries, oversample * k, metric), points, queries, k, metric)
+    return rescore(candidates_int8(coded, queries, oversample * k, metric), points, queries, k, metric, oversample * k)
 
 
 # Search by cells.
@@ -210,21 +231,53 @@ def with_cell(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     """Points with the number of their nearest centre, every row of them."""
     shared = points.sparkSession.sparkContext.broadcast(np.array(centres))
 
-    @F.pandas_udf("int")
-    def cell(vectors):
-        import pandas as pd
-
+    def run(batches):
         c = shared.value
-        x = np.stack(vectors.to_numpy()) if len(vectors) else np.empty((0, c.shape[1]))
-        return pd.Series(((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).argmin(1).astype(np.int32))
+        lengths = (c**2).sum(1)
+        for batch in batches:
+            x = matrix(batch.column(batch.schema.get_field_index("vector")))
+            cell = (lengths - 2 * x @ c.T).argmin(1) if len(x) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*batch.schema.names, "cell"])
+
+    return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType())]))
+
+
+def nearest_cells(centres: list[list[float]], q: np.ndarray, probes: int) -> np.ndarray:
+    return np.argsort(((np.array(centres) - q) ** 2).sum(1), kind="stable")[:probes]
+
+
+def ann_ivf_many(celled: DataFrame, centres: list[list[float]], queries: list[tuple[object, Sequence[float]]], k: int, metric: Metric, probes: int) -> DataFrame:
+    """qid, id, score and rank of the k best of each of a stated set of queries, among
+    the points of its ``probes`` nearest cells; a point is only held against the
+    queries that look into its cell, and cells of no query are not read where
+    ``celled`` is stored by cell."""
+    prepared = [(str(qid), prepare_query(q, metric)) for qid, q in queries]
+    asks: dict[int, list[int]] = {}
+    for n, (_, q) in enumerate(prepared):
+        for cell in nearest_cells(centres, q, probes).tolist():
+            asks.setdefault(cell, []).append(n)
+    shared = celled.sparkSession.sparkContext.broadcast(([qid for qid, _ in prepared], np.stack([q for _, q in prepared]), asks))
+
+    def run(batches):
+        qids, all_, asks = shared.value
+        for batch in batches:
+            cells = batch.column(2).to_numpy()
+            for cell in np.unique(cells).tolist():
+                rows = pa.array(np.flatnonzero(cells == cell))
+                who = asks.get(cell, [])
+                x = matrix(batch.column(1).take(rows))
+                for at in range(0, len(who), QUERY_BLOCK):
+                    some = who[at : at + QUERY_BLOCK]
+                    yield _hits([qids[n] for n in some], 0, batch.column(0).take(rows), scores_of(metric, x, all_[some]), k)
 
-    return points.withColumn("cell", cell("vector"))
+    inside = celled.where(F.col("cell").isin(sorted(asks)))
+    return top_by_query(inside.select("id", "vector", "cell").mapInArrow(run, HITS), k)
 
 
 def ann_ivf(celled: DataFrame, centres: list[list[float]], query: Sequence[float], k: int, metric: Metric, probes: int, where: Filter = MatchAll()) -> DataFrame:
     """Exact search in the ``probes`` nearest cells; widened until k points are found or all cells are read."""
     q = prepare_query(query, metric)
-    order = np.argsort(((np.array(centres) - q) ** 2).sum(1), kind="stable").tolist()
+    order = nearest_cells(centres, q, len(centres)).tolist()
     while True:
         inside = celled.where(F.col("cell").isin(order[:probes]))
         if probes >= len(order) or len(inside.where(compile_filter(where)).select("id").take(k)) >= k:

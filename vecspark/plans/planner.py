@@ -48,7 +48,7 @@ def adaptive(points: DataFrame, coded: DataFrame, query: Sequence[float], k: int
     while True:
         found = search.candidates_int8(coded, [("q", query)], width, metric).join(ids, "id", "left_semi")
         if len(found.select("id").take(k)) >= min(k, n):
-            return search.rescore(found, points, [("q", query)], k, metric).select("id", "score").orderBy(F.desc("score"), F.asc("id"))
+            return search.rescore(found, points, [("q", query)], k, metric, width).select("id", "score").orderBy(F.desc("score"), F.asc("id"))
         if width >= indexed:
             return search.exact(passing, query, k, metric).select("id", "score")
         width *= 2

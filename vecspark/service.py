@@ -33,6 +33,8 @@ class Service:
         """The answer to a request (op and its fields): status, and body or error."""
         self.counters["requests"] += 1
         try:
+            if not isinstance(request, dict):
+                raise InvalidArgument("a request is an object")
             op = request.get("op")
             if op not in ("healthz", "readyz") and self.token is not None and not hmac.compare_digest((token or "").encode(), self.token.encode()):
                 raise Unauthorized("no valid token")
@@ -74,17 +76,25 @@ class Service:
         self.catalog.create(r["collection"], r["dimension"], r["metric"])
         return 201, {"collection": r["collection"]}
 
+    @staticmethod
+    def _request_of(r: dict) -> tuple[str, object] | None:
+        """(client, request) of a change that is to take effect once."""
+        given = r.get("request")
+        if given is not None and (not isinstance(given, (list, tuple)) or len(given) != 2):
+            raise InvalidArgument("a request is a client's name and a number")
+        return None if given is None else tuple(given)
+
     def _upsert(self, r):
         if not 0 < len(r["points"]) <= MAX_BATCH:
             raise ResourceExhausted(f"a batch has 1 to {MAX_BATCH} points")
-        number = self.catalog.get(r["collection"]).upsert(r["points"])
+        number = self.catalog.get(r["collection"]).upsert(r["points"], self._request_of(r))
         self.counters["upserted_points"] += len(r["points"])
         return 200, {"sequence": number}
 
     def _delete(self, r):
         if len(r["ids"]) > MAX_BATCH:
             raise ResourceExhausted(f"a batch has at most {MAX_BATCH} ids")
-        number = self.catalog.get(r["collection"]).delete(r["ids"])
+        number = self.catalog.get(r["collection"]).delete(r["ids"], self._request_of(r))
         self.counters["deleted_points"] += len(r["ids"])
         return 200, {"sequence": number}
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -54,6 +56,26 @@ class Files:
             stream.close()
         self.rename(beside, path, replace=True)
 
+    def create(self, path: str, text: str) -> bool:
+        """Writes a file that isn't there yet; False if there is one."""
+        p, fs = self._path(path)
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
+            raise OSError(f"{path} can't be written") from e
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return True
+
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was changed."""
+        p, fs = self._path(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     def rename(self, old: str, new: str, replace: bool = False) -> None:
         a, fs = self._path(old)
         b, _ = self._path(new)
