@@ -1,6 +1,9 @@
 """Token counts, BPE and the token store against the libraries."""
 
+import glob
 import hashlib
+import os
+import time
 import zlib
 
 import numpy as np
@@ -39,17 +42,31 @@ def test_bpe_is_the_library_s(documents):
 
 def test_one_by_one_merging_of_long_words():
     tables = bpe.load_tables(WORDS)
-    ranks = {int(k): r for r, k in enumerate(tables.pairs.slots[tables.pairs.slots >= 0])}
-    assert len(ranks) == len(tables.made)
-    for word in (b"a" * 70, b"thethe" * 30, "ééaé".encode() * 9):
+    for word in (b"a" * 70, b"thethe" * 30, "ééaé".encode() * 9, b"the" * 100, b"abcabd" * 200, bytes(range(97, 123)) * 20):
         symbols = [int(tables.inner[b]) for b in word[:-1]] + [int(tables.final[word[-1]])]
         while len(symbols) > 1:
-            rank = tables.rank(np.array(symbols[:-1]), np.array(symbols[1:]))
-            at = int(rank.argmin())
-            if rank[at] >= bpe.NO_PAIR:
+            rank = tables.rank(np.array(symbols[:-1]), np.array(symbols[1:])).astype(np.int64)
+            at = int(np.where(rank < 0, 1 << 40, rank).argmin())
+            if rank[at] < 0:
                 break
             symbols[at : at + 2] = [int(tables.made[rank[at]])]
-        assert bpe.merge_words(tables, [word]) == [symbols]
+        assert np.frombuffer(bpe.merge_words(tables, [word])[0], "<i4").tolist() == symbols == bpe._merge_one(tables, word)
+
+
+def test_a_word_of_a_megabyte():
+    tables = bpe.load_tables(WORDS)
+    word = b"abandonment" * 100_000
+    began = time.process_time()
+    ids = np.frombuffer(bpe.merge_words(tables, [word])[0], "<i4")
+    assert time.process_time() - began < 60
+    assert sum(len(tables.tokens[i].removesuffix("</w>")) for i in ids.tolist()) == len(word)
+
+
+def test_letters_that_a_mark_joins_in_lower_case_only(documents):
+    texts = ["H\u0331 T\u0308 J\u030c", "h\u0331 t\u0308 j\u030c", "\u1e96", "THE \u00c9 THE"]
+    library = Tokenizer.from_file(WORDS)
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode_decode(documents(texts), WORDS, keep_ids=True).collect()}
+    assert [got[k] for k in range(len(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_store_is_the_library_s(spark, documents):
@@ -67,6 +84,15 @@ def test_store_is_the_library_s(spark, documents):
         start += len(want)
 
 
+def test_a_store_that_lost_a_file_is_an_error(spark, documents):
+    path = token_store.write_token_store(documents(odd_texts(60)).repartition(3), WORDS, frame_ids=200)
+    parts = sorted(glob.glob(f"{path.removeprefix('file://')}/frames/part-*.parquet"))
+    assert len(parts) > 1
+    os.remove(parts[1])
+    with pytest.raises(ValueError):
+        token_store.read_token_store(spark, path)
+
+
 @pytest.mark.parametrize("planes", [4, 32])
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
 def test_frames_round_trip(planes, n):
