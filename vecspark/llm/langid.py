@@ -6,11 +6,13 @@ declaration is right; the address suffix; and the host, by a prior that is
 smoothed level by level, from all rows to the host's domains to the host itself,
 with counts from grouped aggregation over all rows.
 
+Rows are dealt into folds by the hash of their id.  The text tables and the host
+priors that judge a row come from the other folds, so a row's own declaration
+speaks for it once, as a declaration.
+
 A text may also be of none of the languages: its trigrams are then hardly likelier
 by the best table than if dealt out evenly.  Such a text is not kept, nor one
-that speaks against the language that the other sources outvote it with.  (Rows
-of the sample that the tables are fitted on are known to them: junk that is
-declared as one of the languages is only found where it is not in the sample.)
+that speaks against the language that the other sources outvote it with.
 
 The trigram tables are fitted on a bounded sample of labelled rows
 (``sample_rows``), those whose hashed id comes first; all else covers all rows.
@@ -18,8 +20,9 @@ The trigram tables are fitted on a bounded sample of labelled rows
 Defined cases: null and empty texts and texts without letters give no text
 evidence, so that the other evidence decides; null, unknown or empty
 declarations, suffixes and hosts say nothing; without any evidence the prior of
-all rows decides; an empty table gives no rows; repeated rows and null ids give a
-row each; columns of clashing names are not read.
+all rows decides; of equally likely languages the first of the list is named; very
+long texts are read whole; an empty table gives no rows; repeated rows and null ids
+give a row each; columns of clashing names are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecspark.llm.shared import written
+from vecspark.llm.shared import by_value, opened, release, written
 from vecspark.llm.text import sub_batches
 from vecspark.llm.url_filter import host_and_path
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKET_BITS = 16
+FOLDS = 4
 #: Bytes that may be part of a word, A-Z lower-cased; all others are spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -52,9 +57,10 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 class TextModel:
-    """Log chances of trigram buckets by language; ``weight`` trigrams count in
-    full, more only as much as that many, as they don't speak independently.
+    """Log chances of trigram buckets by fold and language; ``weight`` trigrams count
+    in full, more only as much as that many, as they don't speak independently.
 
+    ``counts`` are of each fold's rows; the tables for a fold have those of all others.
     ``floor`` is the log chance a trigram under which a text is of none of the
     languages: ``GAIN`` over that of evenly dealt trigrams.  Tables of fewer than
     ``ENOUGH`` trigrams can't tell and have none."""
@@ -63,42 +69,51 @@ class TextModel:
     ENOUGH = 10_000
 
     def __init__(self, counts: np.ndarray, weight: float):
-        total = counts.sum(axis=1, keepdims=True)
-        self.log = np.log((counts + 0.1) / (total + 0.1 * counts.shape[1])).astype(np.float32)
+        others = counts.sum(axis=0) - counts if len(counts) > 1 else counts
+        total = others.sum(axis=2, keepdims=True)
+        buckets = counts.shape[2]
+        self.log = np.log((others + 0.1) / (total + 0.1 * buckets)).astype(np.float32)
         self.weight = weight
-        self.floor = self.GAIN - float(np.log(counts.shape[1])) if total.sum() >= self.ENOUGH else float("-inf")
+        self.floor = [self.GAIN - float(np.log(buckets)) if n >= self.ENOUGH else float("-inf") for n in total.sum(axis=(1, 2)).tolist()]
 
-    def evidence(self, text: bytes) -> tuple[int, list[float], float]:
+    def evidence(self, text: bytes, fold: int) -> tuple[int, list[float], float]:
         """How many trigrams a text has, the log chances against the best language,
         and what speaks for none of the languages against the best."""
-        grams = trigrams(text)
+        grams, fold = trigrams(text), fold % len(self.log)
         if not len(grams):
-            return 0, [0.0] * len(self.log), 0.0
-        sums = np.array([row[grams].sum(dtype=np.float64) for row in self.log])
+            return 0, [0.0] * self.log.shape[1], 0.0
+        sums = np.array([row[grams].sum(dtype=np.float64) for row in self.log[fold]])
         sums *= min(1.0, self.weight / len(grams))
-        other = self.floor * min(len(grams), self.weight) - sums.max()
+        other = self.floor[fold] * min(len(grams), self.weight) - sums.max()
         return len(grams), (sums - sums.max()).tolist(), float(other)
 
 
+def fold_of(id_: Column) -> Column:
+    """The fold of a row: what judges it is fitted on the other folds."""
+    return F.pmod(F.xxhash64(id_), F.lit(FOLDS)).cast("int")
+
+
 def fit_text(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample_rows: int = 4000, weight: float = 60.0) -> TextModel:
-    """Fits on at most ``sample_rows`` of ``rows`` (doc_id, text, declared)."""
+    """Fits on at most ``sample_rows`` of ``rows`` (doc_id, fold, text, declared)."""
     labelled = rows.where(F.col("declared").isin(*languages) & F.col("text").isNotNull())
     chosen = labelled.select("doc_id", "declared").orderBy(F.xxhash64("doc_id"), "doc_id", "declared").limit(sample_rows).distinct()
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "declared"]).select("declared", "text")
+    sample = labelled.join(F.broadcast(chosen), ["doc_id", "declared"]).select("declared", "fold", "text")
 
     def count(batches: Iterator[pa.RecordBatch]):
-        counts = np.zeros((len(languages), 1 << BUCKET_BITS), dtype=np.int64)
-        for part, texts in sub_batches(batches):
-            for declared, text in zip(part.column(0).to_pylist(), texts):
-                counts[languages.index(declared)] += np.bincount(trigrams(text), minlength=1 << BUCKET_BITS)
-        for k, row in enumerate(counts):
-            at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array(at), pa.array(row[at])], ["k", "bucket", "n"])
-
-    # languages times buckets at most
-    found = sample.mapInArrow(count, "k int, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(languages), 1 << BUCKET_BITS))
-    counts[found["k"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
+        counts = np.zeros((FOLDS, len(languages), 1 << BUCKET_BITS), dtype=np.int32)
+        for part, texts in sub_batches(batches, limit=1 << 20):
+            for declared, fold, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
+                np.add.at(counts[fold, languages.index(declared)], trigrams(text), 1)
+        for fold, tables in enumerate(counts):
+            for k, row in enumerate(tables):
+                at = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(at), pa.int32()), pa.array([k] * len(at), pa.int32()), pa.array(at), pa.array(row[at].astype(np.int64))], ["fold", "k", "bucket", "n"])
+        release()
+
+    # folds times languages times buckets at most
+    found = sample.mapInArrow(count, "fold int, k int, bucket long, n long").groupBy("fold", "k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((FOLDS, len(languages), 1 << BUCKET_BITS), dtype=np.int64)
+    counts[found["fold"].to_numpy(), found["k"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     return TextModel(counts, weight)
 
 
@@ -110,7 +125,8 @@ def host_levels(host: Column) -> Column:
 
 
 def host_priors(rows: DataFrame, languages: tuple[str, ...], smoothing: float, trust: float) -> DataFrame:
-    """(host_key, prior): log chances of the languages for each host.
+    """(host_key, prior): for each host and fold the log chances of the languages,
+    from the declarations of the rows (host, fold, declared) of all other folds.
 
     A declaration counts ``trust`` for what it says and the rest evenly for the
     others.  Each level adds its own counts to ``smoothing`` times the chances of
@@ -118,24 +134,27 @@ def host_priors(rows: DataFrame, languages: tuple[str, ...], smoothing: float, t
     """
     k = len(languages)
     said = [F.sum(F.when(F.col("declared") == l, trust).when(F.col("declared").isin(*languages), (1 - trust) / (k - 1)).otherwise(0.0)).alias(f"c{i}") for i, l in enumerate(languages)]
-    hosts = rows.groupBy(F.lower(F.coalesce("host", F.lit(""))).alias("host")).agg(*said)
-    counts = [F.col(f"c{i}") for i in range(k)]
-    everyone = hosts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(counts)]).first()
-    top = [everyone[i] + 1.0 for i in range(k)]
-    top = [x / sum(top) for x in top]
-    levels = hosts.select("host", *counts, F.posexplode(host_levels(F.col("host"))).alias("depth", "domain"))
-    by_domain = levels.groupBy("domain").agg(*[F.sum(c).alias(f"c{i}") for i, c in enumerate(counts)])
+    hosts = rows.groupBy(F.lower(F.coalesce("host", F.lit(""))).alias("host"), "fold").agg(*said)
+    # what the folds other than f have, for each f
+    others = [[F.sum(F.when(F.col("fold") != f, F.col(f"c{i}")).otherwise(0.0)) for i in range(k)] for f in range(FOLDS)]
+    all_ = F.array(*[F.array(*of) for of in others]).alias("c")
+    everyone = hosts.agg(all_).first()["c"]
+    start = F.array(*[F.array(*[F.lit(((n or 0.0) + 1.0) / (sum(x or 0.0 for x in of) + k)) for n in of]) for of in everyone])
+    levels = hosts.select("host", "fold", *[f"c{i}" for i in range(k)], F.posexplode(host_levels(F.col("host"))).alias("depth", "domain"))
+    by_domain = levels.groupBy("domain").agg(all_)
     # a host has few levels, which are folded from the top down
-    path = levels.select("host", "depth", "domain").join(by_domain, "domain").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("depth", F.array(*counts).alias("c")))).alias("path"))
-    start = F.array(*[F.lit(x) for x in top])
+    path = levels.select("host", "depth", "domain").distinct().join(by_domain, "domain").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("depth", "c"))).alias("path"))
 
-    def step(chance: Column, level: Column) -> Column:
-        added = F.zip_with(chance, level["c"], lambda p, c: c + smoothing * p)
-        total = F.aggregate(added, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(added, lambda x: x / total)
+    def step(chances: Column, level: Column) -> Column:
+        def one(chance: Column, counts: Column) -> Column:
+            added = F.zip_with(chance, counts, lambda p, c: c + smoothing * p)
+            total = F.aggregate(added, F.lit(0.0), lambda a, x: a + x)
+            return F.transform(added, lambda x: x / total)
+
+        return F.zip_with(chances, level["c"], one)
 
     chances = F.aggregate("path", start, step)
-    return path.select(F.col("host").alias("host_key"), F.transform(chances, lambda x: F.log(x)).alias("prior"))
+    return path.select(F.col("host").alias("host_key"), F.transform(chances, lambda of: F.transform(of, lambda x: F.log(x))).alias("prior"))
 
 
 def said_by(given: Column, languages: tuple[str, ...], right: float) -> Column:
@@ -175,27 +194,33 @@ def identify(
     """
     none = F.lit(None).cast("string")
     as_col = lambda c: none if c is None else F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), as_col(declared).alias("declared"), as_col(suffix).alias("suffix"), as_col(host).alias("host"), *([F.struct(*[F.col(c) for c in df.columns]).alias("row")] if keep_columns else []))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), fold_of(F.col(id_col).cast("long")).alias("fold"), as_col(declared).alias("declared"), as_col(suffix).alias("suffix"), as_col(host).alias("host"), *([F.struct(*[F.col(c) for c in df.columns]).alias("row")] if keep_columns else []))
     model = model or fit_text(rows, languages, sample_rows)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(df.sparkSession, model)
     k = len(languages)
-
-    @F.pandas_udf("struct<n: long, log: array<double>, other: double>")
-    def evidence(texts):
-        import pandas as pd
-
-        model = shared.value
-        found = [model.evidence(t.encode() if t is not None else b"") for t in texts]
-        return pd.DataFrame({"n": [x[0] for x in found], "log": [x[1] for x in found], "other": [x[2] for x in found]})
+    said = T.StructType([T.StructField("n", T.LongType()), T.StructField("log", T.ArrayType(T.DoubleType())), T.StructField("other", T.DoubleType())])
+
+    def evidence(batches):
+        model = opened(shared)
+        for part, texts in sub_batches(batches, limit=1 << 20):
+            folds = part.column(part.schema.get_field_index("fold")).to_pylist()
+            found = [model.evidence(t, fold) for t, fold in zip(texts, folds)]
+            columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.float64())), pa.array([x[2] for x in found], pa.float64())]
+            e = pa.StructArray.from_arrays(columns, ["n", "log", "other"])
+            at = part.schema.get_field_index("text")
+            others = [i for i in range(part.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in others], e], [*[part.schema.names[i] for i in others], "e"])
+        release()
 
     prior = written(host_priors(rows, languages, smoothing, right), "host-priors")
     if prior.count() <= broadcast_hosts:  # else documents are dealt out by host
         prior = F.broadcast(prior)
-    with_text = rows.withColumn("e", evidence("text")).drop("text").withColumn("h", F.lower(F.coalesce("host", F.lit(""))))
+    read = rows.mapInArrow(evidence, T.StructType([*rows.drop("text").schema.fields, T.StructField("e", said)]))
+    with_text = read.withColumn("h", F.lower(F.coalesce("host", F.lit(""))))
     joined = with_text.join(prior, with_text["h"] == prior["host_key"], "left")
     flat = F.array(*[F.lit(float(-np.log(k)))] * k)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    logs = add(add(F.col("e.log"), F.coalesce("prior", flat)), add(said_by(F.col("declared"), languages, right), said_by(F.col("suffix"), languages, suffix_right)))
+    logs = add(add(F.col("e.log"), F.coalesce(F.get("prior", F.col("fold")), flat)), add(said_by(F.col("declared"), languages, right), said_by(F.col("suffix"), languages, suffix_right)))
     out = joined.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     total = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     out = out.withColumn("at", F.array_position("logs", F.col("top"))).withColumn("confidence", F.lit(1.0) / total)

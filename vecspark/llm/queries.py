@@ -37,11 +37,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
-
-
-def op4_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuses all sources: the pages' text, <html lang=...>, address suffix and host."""
+    """Fuses all sources: the pages' text, <html lang=...>, address suffix and host.
+    (The pipeline's stage has the table documents, which has no addresses.)"""
     return langid.identify_pages(table(spark, sf_dir, "pages"))
 
 
@@ -72,7 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_url_filter, op4_language_id, op4_page_language, op5_token_store, op6_matroska, op7_ppm, op8_bpe, op9_toxicity, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_url_filter, op4_language_id, op5_token_store, op6_matroska, op7_ppm, op8_bpe, op9_toxicity, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
