@@ -12,22 +12,25 @@ alone.
 Defined cases: null and empty texts and texts without words score by the bias;
 rows without label, or with a label for an id that has no text, teach nothing;
 an id with several labels counts as toxic if one of them is; without any
-labelled row every score is one half; repeated rows and null ids give a row
-each; other columns are not read.
+labelled row every score is one half; rows of equal id teach once, by the text
+that sorts first; of ids whose hashes are equal at the sample's edge the smaller
+comes first; very long texts are scored and learned from whole; repeated rows and
+null ids give a row each; other columns are not read, so any names are fine.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecspark.llm.shared import by_value, opened, release
 from vecspark.llm.text import keyed_text, sub_batches
 
 WORD = rb"[0-9a-z\x80-\xff]+"
@@ -43,7 +46,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Word hashes, kept for the words of a bounded number of texts."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -52,8 +55,9 @@ class Hasher:
         known = self.known
         if len(known) > self.limit:
             known.clear()
+        digest = xxhash.xxh64_intdigest
         for w in set(found).difference(known):
-            known[w] = zlib.crc32(w) << 32 | zlib.crc32(w, 0x5BD1E995)
+            known[w] = digest(w)
         return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
@@ -109,14 +113,11 @@ class Model:
         self.keys, self.weights, self.bias = keys[by], weights[by], bias
         self.screen = np.zeros(1 << 20, dtype=bool)
         self.screen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.hasher: Hasher | None = None
 
-    def score(self, text: bytes) -> float:
-        if self.hasher is None:
-            self.hasher = Hasher()
+    def score(self, text: bytes, hasher: Hasher) -> float:
         total = self.bias
         if len(self.keys):
-            found = features(self.hasher.words(text))
+            found = features(hasher.words(text))
             found = np.unique(found[self.screen[(found >> np.uint64(44)).astype(np.int64)]])
             at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
             total += float(self.weights[at[self.keys[at] == found]].sum())
@@ -128,7 +129,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 4000, least_rows: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, epochs: int = 10, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000, least_rows: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, epochs: int = 10, seed: int = 11) -> Model:
     """Learns from at most ``sample_rows`` labelled rows that are not held out.
 
     Features that fewer than ``least_rows`` of them have are left out.  One task
@@ -138,22 +139,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     given = given.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     text = keyed_text(docs, id_col, text_col).where("doc_id is not null")
-    rows = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def learn(batches: Iterator[pa.RecordBatch]):
         hasher, given = Hasher(), []
-        for part, texts in sub_batches(batches):
+        for part, texts in sub_batches(batches, limit=1 << 20):
             given += [(d, y, np.unique(features(hasher.words(t)))) for d, y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts)]
         given.sort(key=lambda x: (x[0], x[1], len(x[2])))  # as it were in any order of arrival
         if not given:
             return
         keys = frequent([x[2] for x in given], least_rows)
-        indices = []
-        for _, _, f in given:
+        indices, truth = [], [x[1] for x in given]
+        while given:  # hashes leave as soon as they are numbered
+            f = given.pop()[2]
             at = np.minimum(np.searchsorted(keys, f), max(0, len(keys) - 1))
-            indices.append(at[keys[at] == f] if len(keys) else at[:0])
-        w, bias = ftrl(indices, [x[1] for x in given], len(keys), alpha, beta, l1, l2, epochs, seed)
+            indices.append((at[keys[at] == f] if len(keys) else at[:0]).astype(np.int32))
+        indices.reverse()
+        w, bias = ftrl(indices, truth, len(keys), alpha, beta, l1, l2, epochs, seed)
         kept = np.flatnonzero(w)
+        del given, indices, hasher
+        release()
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *keys[kept].view(np.int64).tolist()], pa.int64()), pa.array([bias, *w[kept].tolist()], pa.float64())], ["key", "weight"]
         )
@@ -166,13 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def toxicity(df: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(df.sparkSession, model)
 
     def run(batches):
-        model = shared.value
-        for part, texts in sub_batches(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(t) for t in texts], pa.float64())], ["doc_id", "score"])
-        model.hasher = None  # an idle worker holds nothing
+        model, hasher = opened(shared), Hasher()
+        for part, texts in sub_batches(batches, limit=1 << 20):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(t, hasher) for t in texts], pa.float64())], ["doc_id", "score"])
+        del hasher  # an idle worker holds nothing
+        release()
 
     scored = keyed_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -180,13 +186,13 @@ def toxicity(df: DataFrame, model: Model, threshold: float = 0.3, id_col: str =
 
 def keep_clean(df: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose score is under the threshold, with all columns."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(df.sparkSession, model)
 
     def run(batches):
-        model = shared.value
-        for part, texts in sub_batches(batches, text_col):
-            yield part.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
-        model.hasher = None
+        model, hasher = opened(shared), Hasher()
+        for part, texts in sub_batches(batches, text_col, limit=1 << 20):
+            yield part.filter(pa.array([model.score(t, hasher) < threshold for t in texts], pa.bool_()))
+        del hasher
+        release()
 
     return df.mapInArrow(run, df.schema)
-
