@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vecspark.llm.pairs import PairTable
+from vecspark.llm.shared import by_value, opened
 from vecspark.llm.text import WordMemo, keyed_text, sub_batches
 
 SPACE = "▁"
@@ -208,12 +209,11 @@ def words_of(text: bytes) -> list[bytes]:
 def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each row."""
     with open(model_path, "rb") as f:
-        tables = PieceTables(f.read())
-    shared = df.sparkSession.sparkContext.broadcast(tables)
+        shared = by_value(df.sparkSession, PieceTables(f.read()))
 
     def count(batches):
-        tables = shared.value
-        if tables.memo is None:
+        tables = opened(shared)
+        if tables.memo is None:  # later tasks use it too
             tables.memo = WordMemo(lambda words: count_words(tables, words))
         for part, texts in sub_batches(batches):
             words = [words_of(t) for t in texts]
