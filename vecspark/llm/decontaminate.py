@@ -11,7 +11,7 @@ item of fewer words than a window is one window of its own length, an item
 without words none; repeated items and windows count once an item id; rows of
 equal id and text share one result, each row keeping its own; null ids work as
 any id; words of any length and texts of any length are scanned whole; an empty
-benchmark hits nothing.
+benchmark hits nothing; columns of any names are kept as they are.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.shared import written
+from vecspark.llm.shared import few, written
 
 #: Anything that parts words once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows of the test set that are broadcast at most; a window takes some 300 bytes.
 BROADCAST_WINDOWS = 200_000
+#: Keys of documents that are broadcast at most; a key takes some 100 bytes.
+BROADCAST_KEYS = 300_000
 
 
 def words_of(text: Column) -> Column:
@@ -59,15 +61,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_id_c
     hits = None
     for n, count in sorted(sizes.items()):
         set_ = windows.where(F.col("n") == n).select(F.col("h").alias("wh"), F.col("words").alias("window_words"), "wid")
-        set_ = F.broadcast(set_) if count <= broadcast_windows else set_
         worded = docs.select("key", words_of(F.col("text")).alias("w")).where(F.size("w") >= n)
         hashed = worded.select("key", "w", F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n))).alias("hs"))
-        # outer: else a filter on the hashes is inferred and makes them twice
-        scanned = hashed.select("key", "w", F.posexplode_outer("hs").alias("p", "h"))
         # equality in two halves is no join key, so only windows whose hash is found are compared
         words = F.slice("w", F.col("p") + 1, n)
-        same = (F.col("h") == F.col("wh")) & (words <= F.col("window_words")) & (words >= F.col("window_words"))
-        found = scanned.join(set_, same).select("key", (F.col("p") + 1).alias("at"), F.lit(n).alias("n"), "wid")
+        equal = (words <= F.col("window_words")) & (words >= F.col("window_words"))
+        if count <= broadcast_windows:
+            # outer: else a filter on the hashes is inferred and makes them twice
+            scanned = hashed.select("key", "w", F.posexplode_outer("hs").alias("p", "h"))
+            met = scanned.join(F.broadcast(set_), (F.col("h") == F.col("wh")) & equal)
+        else:
+            # places and hashes are dealt out, words stay; what a hash proposes is held against the words
+            places = hashed.select("key", F.posexplode_outer("hs").alias("p", "h"))
+            proposed = written(places.join(set_.hint("merge"), F.col("h") == F.col("wh")).select("key", "p", "window_words", "wid"), "proposed")
+            keys = proposed.select("key").distinct()
+            some = worded.join(few(keys, BROADCAST_KEYS), "key", "left_semi")
+            met = proposed.join(some, "key").where(equal)
+        found = met.select("key", (F.col("p") + 1).alias("at"), F.lit(n).alias("n"), "wid")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = docs.select("key", F.lit(1).alias("at"), F.lit(1).alias("n"), F.lit("").alias("wid")).limit(0)
@@ -106,16 +116,21 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, mode: str = "documents",
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
     found = contamination(df, benchmark, window, id_col, text_col, spans=True, **columns).where("contaminated")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key.a").alias("_a"), F.col("text_key.b").alias("_b"), F.col("hit_words").alias("_hit")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_a")) & (F.xxhash64(text_col, F.lit(1)) == F.col("_b"))
+    found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_key.a").alias("hit_a"), F.col("text_key.b").alias("hit_b"), *(["hit_words"] if mode == "spans" else [])).distinct()
+    found = written(found, "contaminated")
+    # as one column, so that names can't clash
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_a"), F.xxhash64(text_col, F.lit(1)).alias("own_b"))
+    same = F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_a") == F.col("hit_a")) & (F.col("own_b") == F.col("hit_b"))
     if mode == "documents":
-        return df.join(found, same, "left_anti")
+        kept = rows.join(few(found, BROADCAST_KEYS), same, "left_anti")
+        return kept.select(*[F.col("doc").getField(c).alias(c) for c in df.columns])
+    given = F.col("doc").getField(text_col)
     # each word with what follows it; what precedes the first word is kept apart
-    lead = F.regexp_extract(text_col, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(1))
-    spaced = F.transform(parts, lambda x, i: F.when(F.array_contains("_hit", i + 1), F.lit("")).otherwise(x))
-    text = F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(spaced, "")))
-    return df.join(found, same, "left").select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns])
+    lead = F.regexp_extract(given, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    parts = F.regexp_extract_all(given, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(1))
+    spaced = F.transform(parts, lambda x, i: F.when(F.array_contains("hit_words", i + 1), F.lit("")).otherwise(x))
+    text = F.when(F.col("hit_words").isNull(), given).otherwise(F.concat(lead, F.array_join(spaced, "")))
+    return rows.join(found, same, "left").select(*[text.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in df.columns])
 
 
 def sql(window: int = 10) -> str:

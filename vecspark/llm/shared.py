@@ -12,6 +12,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def by_value(spark: SparkSession, value: Any) -> Broadcast:
@@ -62,5 +63,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(keys: DataFrame, bound: int) -> DataFrame:
+    """``keys`` marked for broadcast if they are no more than ``bound`` rows, which
+    are counted; else to be dealt out."""
+    return F.broadcast(keys) if keys.count() <= bound else keys
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
