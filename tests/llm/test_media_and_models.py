@@ -59,6 +59,20 @@ def test_damage():
         for at in rng.integers(0, 200, 3):
             broken[at] = int(rng.integers(256))
         M.parse(bytes(broken), strict=False)
+    for _ in range(2000):  # the heads of all elements, wherever they stand
+        broken = bytearray(data)
+        for at in [*rng.integers(0, 300, 2), *(len(broken) - rng.integers(1, 60, 2))]:
+            broken[at] = int(rng.integers(256))
+        media = M.parse(bytes(broken), strict=False)
+        assert all(-(1 << 63) <= x < 1 << 63 for p in media.packets for x in (p.track, p.timestamp_ns, p.offset, p.size))
+
+
+@pytest.mark.parametrize("body", [M.element(M.AUDIO, M.element(M.SAMPLING_FREQUENCY, b"abc")), M.element(M.DEFAULT_DURATION, b"\x01" * 9)])
+def test_numbers_of_odd_lengths(body):
+    data = M.element(M.SEGMENT, M.element(M.TRACKS, M.element(M.TRACK_ENTRY, body)))
+    with pytest.raises(M.MediaError):
+        M.parse(data)
+    assert M.parse(data, strict=False).packets == []
 
 
 def test_media_columns(documents, strange, empty):

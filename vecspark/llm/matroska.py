@@ -121,11 +121,22 @@ def elements(data: bytes, at: int, end: int, parent: int = 0) -> Iterator[tuple[
 
 
 def _uint(data: bytes) -> int:
+    if len(data) > 8:
+        raise MediaError("an integer has more than 8 bytes")
     return int.from_bytes(data, "big")
 
 
 def _float(data: bytes) -> float:
-    return struct.unpack({4: ">f", 8: ">d"}[len(data)], data)[0] if data else 0.0
+    if len(data) not in (0, 4, 8):
+        raise MediaError("a number has 0, 4 or 8 bytes")
+    return struct.unpack(">d" if len(data) == 8 else ">f", data)[0] if data else 0.0
+
+
+def _stamp(value: int) -> int:
+    """A time that fits the columns."""
+    if not -(1 << 63) <= value < 1 << 63:
+        raise MediaError("a time is beyond 63 bits")
+    return value
 
 
 def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
@@ -182,7 +193,7 @@ def parse(data: bytes, strict: bool = True) -> Media:
         if duration is not None:
             step = duration * scale // len(sizes)
         for k, size in enumerate(sizes):
-            media.packets.append(Packet(track, (time + rel) * scale + k * step, bool(flags & 0x80) if key is None else key, at, size))
+            media.packets.append(Packet(track, _stamp((time + rel) * scale + k * step), bool(flags & 0x80) if key is None else key, at, size))
             at += size
 
     try:
@@ -241,11 +252,11 @@ def parse(data: bytes, strict: bool = True) -> Media:
                             elif m == CUE_TRACK_POSITIONS:
                                 own = {x: _uint(data[i:j]) for x, i, j in elements(data, g, h)}
                                 places.append((own.get(CUE_TRACK, 0), own.get(CUE_CLUSTER_POSITION, 0)))
-                        raw_cues += [(time, t, p) for t, p in places]
+                        raw_cues += [(_stamp(time * scale), t, p) for t, p in places]
     except MediaError:
         if strict:
             raise
-    return media._replace(doc_type=doc_type, scale=scale, cues=[(t * scale, n, base + p) for t, n, p in raw_cues])
+    return media._replace(doc_type=doc_type, scale=scale, cues=[(t, n, base + p) for t, n, p in raw_cues])
 
 
 # Writing.
