@@ -28,7 +28,7 @@ def documents(spark):
 def strange(documents):
     """Nulls in any column, repeated rows, and columns of clashing names."""
     df = documents([None, "", "same text here", "same text here", "same text here", "x" * 20000], ids=[None, 1, 2, 2, 3, 4])
-    extra = {c: F.lit("clash") for c in ("n_tokens", "score", "fingerprint", "key", "w", "h", "label", "node", "item_id", "row", "p")}
+    extra = {c: F.lit("clash") for c in ("n_tokens", "score", "fingerprint", "key", "w", "h", "label", "node", "item_id", "row", "p", "doc", "own", "a", "b", "at", "hit_id", "hit_words", "_id", "_row", "fold", "e", "kind", "lot")}
     return df.withColumns(extra).withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.when(F.col("doc_id") == 1, F.lit(None)).otherwise(F.col("lang")))
 
 

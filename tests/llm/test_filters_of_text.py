@@ -2,15 +2,19 @@
 
 import glob
 import hashlib
+import math
 import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from vecspark.llm import decontaminate, langid, queries, toxicity, url_filter
@@ -112,11 +116,11 @@ def test_language_rejects_other_texts_and_contradictions(documents, sentences):
     assert [got[k] for k in range(len(got))] == [True] * len(langs) + [False] * len(junk)
     assert sorted(r["doc_id"] for r in langid.keep_identified(docs).collect()) == list(range(len(langs)))
     # two trigrams for Spanish, 4.6 in all, are outvoted by the host and the declaration
-    counts = np.full((4, 1 << langid.BUCKET_BITS), 0.0)
-    counts[:, 0] = 5000
+    counts = np.full((1, 4, 1 << langid.BUCKET_BITS), 0.0)
+    counts[0, :, 0] = 5000
     for gram in langid.trigrams(b"ab"):
-        counts[:, gram] = 10
-        counts[langid.LANGUAGES.index("es"), gram] = 100
+        counts[0, :, gram] = 10
+        counts[0, langid.LANGUAGES.index("es"), gram] = 100
     rows = documents(["ab", *[None] * 300], langs=["de"] * 301).withColumn("source", F.lit("one"))
     found = {r["doc_id"]: r for r in langid.identify(rows, model=langid.TextModel(counts, 60.0)).collect()}
     assert (found[0]["lang_pred"], found[0]["text_lang"], found[0]["keep"], found[1]["keep"]) == ("de", "es", False, True)
@@ -132,12 +136,76 @@ def test_language_of_pages(spark, tmp_path, sentences):
         want[k] = lang
     rows += [(200, "https://new.site1.example.en/", None), (201, None, '<html lang="es">')]
     spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r["page_id"]: r for r in queries.op4_page_language(spark, str(tmp_path)).collect()}
+    got = {r["page_id"]: r for r in queries.op4_language_id(spark, str(tmp_path)).collect()}
     assert len(got) == 122 and {k: got[k]["lang_pred"] for k in want} == want
     assert got[200]["lang_pred"] == "en"  # by suffix and the host's domains
     assert got[201]["lang_pred"] == "es"  # by markup
 
 
+def plain_languages(rows, right=0.9, suffix_right=0.7, smoothing=20.0, weight=60.0):
+    """The whole fusion, row by row, for rows (id, fold, text, declared, suffix, host)."""
+    langs = langid.LANGUAGES
+    counts = {(f, l): Counter() for f in range(langid.FOLDS) for l in langs}
+    for _, fold, text, declared, _, _ in rows:
+        if declared in langs and text is not None:
+            counts[fold, declared].update(langid.trigrams(text.encode()).tolist())
+    domains = lambda h: [".".join(h.split(".")[-n:]) for n in range(1, h.count(".") + 2)] if h else []
+    said = Counter()
+    for _, fold, _, declared, _, host in rows:
+        for d in ["*", *domains((host or "").lower())]:
+            for l in langs if declared in langs else ():
+                said[fold, d, l] += right if l == declared else (1 - right) / 3
+    out = {}
+    for i, fold, text, declared, suffix, host in rows:
+        grams = langid.trigrams((text or "").encode()).tolist()
+        other = [f for f in range(langid.FOLDS) if f != fold]
+        logs = {}
+        for l in langs:
+            c = sum((counts[f, l] for f in other), Counter())
+            total = sum(c.values()) + 0.1 * 65536
+            logs[l] = sum(math.log((c[g] + 0.1) / total) for g in grams) * min(1.0, weight / max(1, len(grams)))
+        text_logs = dict(logs)
+        p = {l: sum(said[f, "*", l] for f in other) + 1 for l in langs}
+        p = {l: x / sum(p.values()) for l, x in p.items()}
+        for d in domains((host or "").lower()):
+            p = {l: sum(said[f, d, l] for f in other) + smoothing * p[l] for l in langs}
+            p = {l: x / sum(p.values()) for l, x in p.items()}
+        for l in langs:
+            logs[l] += math.log(p[l]) if host else math.log(0.25)
+            for given, chance in ((declared, right), (suffix, suffix_right)):
+                if given in langs:
+                    logs[l] += math.log(chance if given == l else (1 - chance) / 3)
+        top = max(logs.values())
+        best = max(langs, key=lambda l: (logs[l], -langs.index(l)))
+        chance = 1 / sum(math.exp(x - top) for x in logs.values())
+        enough = sum(sum(counts[f, l].values()) for f in other for l in langs) >= 10_000
+        none = (1 - math.log(65536)) * min(len(grams), weight) - max(text_logs.values()) if grams and enough else -math.inf
+        keep = chance >= 0.5 and max(max(text_logs.values()) - text_logs[best], none if grams else 0) <= 3.0
+        out[i] = (best, chance, keep)
+    return out
+
+
+def test_the_whole_fusion_by_brute_force(spark, sentences):
+    rng = random.Random(9)
+    rows = []
+    for k in range(160):
+        lang = langid.LANGUAGES[k % 4]
+        text = None if k % 17 == 0 else sentences(lang, rng.choice([1, 2, 40]))
+        declared = rng.choice([lang, lang, lang, "de", None, "xx"])
+        host = None if k % 13 == 0 else f"{rng.choice(['a', 'b'])}.{rng.choice(['One', 'two'])}.{rng.choice([lang, 'org'])}"
+        rows.append((k, text, declared, host and host.split(".")[-1], host))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, tld string, host string")
+    folds = {r["doc_id"]: r["f"] for r in df.select("doc_id", langid.fold_of(F.col("doc_id")).alias("f")).collect()}
+    want = plain_languages([(r[0], folds[r[0]], *r[1:]) for r in rows])
+    got = langid.identify(df, suffix="tld", host="host").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, chance, keep = want[r["doc_id"]]
+        assert r["confidence"] == pytest.approx(chance, rel=1e-3) and r["keep"] == keep, r
+        if chance > 0.5:
+            assert r["lang_pred"] == lang
+
+
 def toxic_table(documents, sentences, n=600):
     rng = random.Random(3)
     texts, labels = [], []
@@ -170,6 +238,47 @@ def test_toxicity_of_held_out_rows(spark, documents, sentences, strange, empty):
     assert {r["score"] for r in toxicity.toxicity(docs, nothing).collect()} == {0.5}
 
 
+def plain_toxicity(rows, labels, least=3, alpha=2.0, beta=1.0, l1=3.0, l2=0.1, epochs=10, seed=11):
+    """Scores of rows (id, text) by FTRL-proximal over features that are spelled out."""
+
+    def of(text):
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        return {("one", x) for x in w} | {("two", *x) for x in zip(w, w[1:])} | {("skip", *x) for x in zip(w, w[2:])}
+
+    taught = sorted((i, labels[i], len(of(t)), t) for i, t in rows if i in labels and zlib.crc32(str(i).encode()) % 4 != 2)
+    counts = Counter(f for *_, t in taught for f in of(t))
+    z, n, zb, nb = Counter(), Counter(), 0.0, 0.0
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    def chance(text):
+        total = sum(weight(f) for f in of(text) if counts[f] >= least) - zb / ((beta + math.sqrt(nb)) / alpha)
+        return 1 / (1 + math.exp(-total))
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in rng.permutation(len(taught)):
+            _, y, _, text = taught[k]
+            g = chance(text) - y
+            b = -zb / ((beta + math.sqrt(nb)) / alpha)
+            for f in [f for f in of(text) if counts[f] >= least]:
+                w = weight(f)
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w
+                n[f] += g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * b
+            nb += g * g
+    return {i: chance(t) for i, t in rows}
+
+
+def test_toxicity_by_brute_force(spark, documents, sentences):
+    docs, labels = toxic_table(documents, sentences, 90)
+    want = plain_toxicity([(r["doc_id"], r["text"]) for r in docs.collect()], dict(labels))
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, model).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -229,19 +338,60 @@ def test_strange_rows_of_decontamination(spark, documents, strange, empty):
     assert {r["contaminated"] for r in decontaminate.contamination(strange, bench.limit(0)).collect()} == {False}
 
 
-def test_pipeline(spark, tmp_path, documents, sentences):
-    docs, labels = toxic_table(documents, sentences)
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    clean = [k for k, y in labels if not y]
-    bench = sentences("en", 30)
-    base = dict(rows)[clean[0]] + " " + sentences("en", 150)
-    extra = [(1000, base), (1001, base), (1002, base + " more"), (1003, sentences("en", 50) + " " + bench), (1004, base.replace(base.split()[40], "changed", 1))]
-    folder = str(tmp_path / "t")
-    documents([t for _, t in rows + extra], ids=[k for k, _ in rows + extra]).write.parquet(f"{folder}/documents.parquet")
+def plain_groups(rows, similarity=0.8):
+    """The ids (the smallest of each group) that near-duplicate removal keeps of rows (id, text)."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if group[a] != group[b] and both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group):
+        least[g] = min(i, least.get(g, i))
+    return set(least.values())
+
+
+def write_tables(spark, folder, docs, labels, bench):
+    docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
-    assert 1000 in kept and not kept & {1001, 1002, 1003, 1004}
-    toxic = {k for k, y in labels if y}
-    assert len(kept & toxic) <= 0.06 * len(toxic)
-    assert len(kept & set(clean)) >= 0.97 * len(clean)
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_by_brute_force(spark, tmp_path, documents, sentences):
+    rng = random.Random(5)
+    table, labels = toxic_table(documents, sentences, 240)
+    rows = [(r["doc_id"], r["text"], "en") for r in table.collect()]
+    bench = [(1, sentences("en", 30)), (2, "")]
+    long = [sentences(lang, 120) for lang in ("de", "fr", "es", "en")]
+    for k, (lang, text) in enumerate(zip(("de", "fr", "es", "en"), long)):
+        rows += [(500 + 10 * k + c, text if c == 0 else " ".join(w if rng.random() > 0.004 * c else "other" for w in text.split()), lang) for c in range(5)]
+    rows += [(700, sentences("en", 50) + " " + bench[0][1], "en"), (701, None, "en"), (702, "", "de"), (703, None, None), (704, "x8Kq zPv3 Lm9w QRtY uWz7 bbXq", "xx"), (705, long[0], "de")]
+    rows += [(800 + k, sentences(lang, 60), lang) for k, lang in enumerate(("de", "fr", "es") * 20)]
+    folder = str(tmp_path / "t")
+    docs = documents([t for _, t, _ in rows], ids=[i for i, _, _ in rows], langs=[x for _, _, x in rows])
+    write_tables(spark, folder, docs, labels, bench)
+    spark_rows = {r["doc_id"]: (r["f"], r["source"]) for r in docs.select("doc_id", langid.fold_of(F.col("doc_id")).alias("f"), "source").collect()}
+    scores = plain_toxicity([(i, t) for i, t, _ in rows], dict(labels))
+    left = [r for r in rows if scores[r[0]] < 0.3]
+    kept = plain_languages([(i, spark_rows[i][0], t, lang, None, spark_rows[i][1]) for i, t, lang in left])
+    left = [r for r in left if kept[r[0]][2]]
+    ids = plain_groups([(i, t) for i, t, _ in left])
+    left = [r for r in left if r[0] in ids and not plain_contamination(r[1], bench)[4]]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: hashlib.sha256(" ".join(map(str, library.encode(t or "", add_special_tokens=False).ids)).encode()).hexdigest() for i, t, _ in left}
+    assert {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, folder).collect()} == want
+
+
+def test_pipeline_of_strange_tables(spark, tmp_path, strange, empty):
+    write_tables(spark, str(tmp_path / "strange"), strange, [(1, 0)], [(1, "no such words")])
+    got = corpus_pipeline.run(spark, str(tmp_path / "strange")).collect()
+    # the empty text without declaration or source has no language; of the repeated text one row stays
+    assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in got) == [(0, False), (2, True), (4, True)]
+    write_tables(spark, str(tmp_path / "empty"), empty, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0

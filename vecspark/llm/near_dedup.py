@@ -25,8 +25,9 @@ text are one from the start.
 
 Defined cases: null and empty texts and texts without words are copies of each
 other; a text of fewer words than a shingle is one shingle; rows of equal id and
-text are copies; of equal ids with unlike texts the one of the smaller text
-hash comes first; null ids come last; other columns stay as they are.
+text are copies, of which any one stays; of equal ids with unlike texts the one of
+the smaller text hash comes first; null ids come last; very long texts are read
+whole; an empty table gives no rows; other columns, of any name, stay as they are.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.graph import connected_components
-from vecspark.llm.shared import written
+from vecspark.llm.shared import few, release, written
 from vecspark.llm.simhash import majority_bits, near_links, shingle_hashes
 from vecspark.llm.text import sub_batches
 
@@ -54,8 +55,17 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Keys of texts that are broadcast at most; a key takes some 50 bytes.
+BROADCAST_KEYS = 500_000
+
+
+def key_of(text) -> list:
+    """The key of a text, two hashes of it: texts of equal keys are taken as equal."""
+    return [F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b")]
+
+
 def prints_of(texts: DataFrame, shingle: int, views: int, sample: int, seed: int) -> DataFrame:
-    """node, fingerprint, wide (four longs) and views (longs) of ``texts`` (node, text)."""
+    """a, b, fingerprint, wide (four longs), views (longs) and size of ``texts`` (a, b, text)."""
 
     def run(batches):
         for part, given in sub_batches(batches, limit=1 << 20):
@@ -78,9 +88,10 @@ def prints_of(texts: DataFrame, shingle: int, views: int, sample: int, seed: int
                     elif len(first) > 1:
                         sampled[row, k] = majority_bits(first, np.array([len(first)]))[0]
             longs = lambda x: pa.array(list(x.view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole.view(np.int64)), longs(wide), longs(sampled), pa.array(counts.astype(np.int32))], ["node", "fingerprint", "wide", "views", "size"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(whole.view(np.int64)), longs(wide), longs(sampled), pa.array(counts.astype(np.int32))], ["a", "b", "fingerprint", "wide", "views", "size"])
+        release()
 
-    return texts.mapInArrow(run, "node long, fingerprint long, wide array<long>, views array<long>, size int")
+    return texts.mapInArrow(run, "a long, b long, fingerprint long, wide array<long>, views array<long>, size int")
 
 
 def shingle_sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
@@ -90,6 +101,7 @@ def shingle_sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
         for part, given in sub_batches(batches, limit=1 << 20):
             sets = [np.unique(np.array(shingle_hashes(t, shingle, seed), dtype=np.uint64)).view(np.int64) for t in given]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        release()
 
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
@@ -178,37 +190,49 @@ def unsettled_pairs(seen: DataFrame, links: DataFrame, bits: int, similarity: fl
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "unsettled-pairs")
 
 
-def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 72, seed: int = 42, similarity: float = 0.8, nearest: int = 8) -> DataFrame:
-    """node (a text's hash) and label, which near copies share, of each text that has one."""
-    key = F.struct(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("a"), F.xxhash64(F.coalesce(text_col, F.lit("")), F.lit(1)).alias("b"))
-    texts = df.select(F.xxhash64(key["a"], key["b"]).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
-    prints = written(prints_of(texts, shingle, views, sample, seed).dropDuplicates(["node"]), "near-prints")
+def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 72, seed: int = 42, similarity: float = 0.8, nearest: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(a, b, node): the key of each distinct text and its number; and (node, label)
+    of each text that has near copies, which share the label."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = df.select(*key_of(text), text.alias("text"))
+    # numbered as they are written, so that a number stays
+    prints = written(prints_of(texts, shingle, views, sample, seed).dropDuplicates(["a", "b"]).withColumn("node", F.monotonically_increasing_id()), "near-prints")
     whole = near_links(prints.select("fingerprint").distinct(), radius)
     first = written(prints.groupBy("fingerprint").agg(F.min("node").alias("first")), "first-of-print")
     to = lambda c: first.select(F.col("fingerprint").alias(c), F.col("first").alias(f"{c}_node"))
     whole = whole.join(to("a"), "a").join(to("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    equal = prints.join(first, "fingerprint").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    equal = prints.select("node", "fingerprint").join(first, "fingerprint").select(F.col("node").alias("a"), F.col("first").alias("b"))
     seen = shared_views(prints)
     pairs = whole.unionByName(equal).unionByName(view_pairs(seen, bits, similarity)).where("a <> b")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     # only texts that a pair may have are read again
     nodes = seen.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    sets = written(shingle_sets(texts.join(nodes, "node", "left_semi"), shingle, seed).dropDuplicates(["node"]), "shingle-sets")
+    keys = written(prints.select("a", "b", "node").join(nodes, "node"), "keys-of-pairs")
+    some = texts.join(few(keys, BROADCAST_KEYS), ["a", "b"]).select("node", "text")
+    sets = written(shingle_sets(some, shingle, seed).dropDuplicates(["node"]), "shingle-sets")
     links = written(similar(pairs, sets, similarity), "near-links")
     for low, high in ((0, nearest), (nearest, None)):
         pairs = unsettled_pairs(seen, links, bits, similarity, low, high)
         links = written(links.unionByName(similar(pairs, sets, similarity)), "near-links")
-    return connected_components(links)
+    return prints.select("a", "b", "node"), connected_components(links)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df``, which is read from files, with one row, that of the smallest id,
-    of each group of near copies."""
+    """``df`` with one row, that of the smallest id, of each group of near copies."""
+    texts, labels = groups(df, text_col, **options)
+    label = texts.join(labels, "node", "left").select("a", "b", F.coalesce("label", "node").alias("label"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    node = F.xxhash64(F.xxhash64(text), F.xxhash64(text, F.lit(1)))
-    labels = groups(df, text_col, **options)
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in df.columns]).alias("_doc"), node.alias("node"))
-    rank = F.struct(F.col("_doc")[id_col].isNull().alias("no_id"), F.col("_doc")[id_col].alias("id"), F.col("node").alias("node"), F.col("_row").alias("row"))
-    best = rows.groupBy("node").agg(F.min(rank).alias("rank")).join(labels, "node", "left")
-    kept = best.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*[F.col("_doc").getField(c).alias(c) for c in df.columns])
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("doc"), F.col(id_col).alias("own"), *key_of(text))
+    # how often each id has each text, and which of a group's comes first
+    counted = rows.groupBy("own", "a", "b").agg(F.count("*").alias("n")).join(label, ["a", "b"])
+    rank = F.struct(F.col("own").isNull().alias("no_id"), F.col("own").alias("own"), F.col("a").alias("a"), F.col("b").alias("b"))
+    ranked = written(counted.withColumn("rank", rank), "ranked-texts")
+    best = ranked.groupBy("label").agg(F.min("rank").alias("best"))
+    judged = written(ranked.join(best, "label").select("own", "a", "b", "n", (F.col("rank") == F.col("best")).alias("stays")), "judged-texts")
+    is_ = lambda c: F.col("own").eqNullSafe(F.col(f"{c}_own")) & (F.col("a") == F.col(f"{c}_a")) & (F.col("b") == F.col(f"{c}_b"))
+    of = lambda found, c: few(found.select(*[F.col(x).alias(f"{c}_{x}") for x in ("own", "a", "b")]), BROADCAST_KEYS)
+    # rows that go, and rows that are there more than once, are fewer than those that stay
+    alone = rows.join(of(judged.where("NOT stays OR n > 1"), "gone"), is_("gone"), "left_anti").select("doc")
+    repeated = rows.join(of(judged.where("stays AND n > 1"), "again"), is_("again"), "left_semi")
+    one = repeated.groupBy("own", "a", "b").agg(F.first("doc").alias("doc")).select("doc")
+    return alone.unionByName(one).select(*[F.col("doc").getField(c).alias(c) for c in df.columns])
