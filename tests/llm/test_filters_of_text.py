@@ -65,6 +65,54 @@ def test_trust_and_distrust_run_along_links(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES), queries.RULES).count() == 0
 
 
+def test_a_large_graph_against_plain_rounds(spark):
+    rng = random.Random(8)
+    hosts = ["hub.org"] + [f"h{k}.{rng.choice(['com', 'net', 'org', 'info'])}" for k in range(1500)]
+    links, pages = {h: set() for h in hosts}, []
+    for k, h in enumerate(hosts):
+        if k % 5 == 4:
+            continue  # links nowhere
+        links[h] = {rng.choice(hosts) for _ in range(rng.randint(1, 6))} | ({"hub.org"} if k % 2 else set())
+        if h == "hub.org":
+            links[h] = set(rng.sample(hosts, 700))
+        links[h] -= {h}
+    for k, h in enumerate(hosts):
+        for c in range(1 + k % 3):
+            path = "/fr/x" if h.endswith(".net") and k % 4 == 0 else "/y"
+            pages.append((len(pages), f"http://{h}{path}", "".join(f'<a href="https://{t}/">' for t in sorted(links[h]))))
+    mass = {"trust": Counter(), "distrust": Counter()}
+    for _, url, _ in pages:
+        h = url.split("/")[2]
+        if h.endswith(".com"):
+            mass["trust"][h] += 1
+        elif h.endswith(".net") and "/fr/" in url:
+            mass["distrust"][h] += 1
+    back = {h: [g for g in hosts if h in links[g]] for h in hosts}
+    for kind, to in (("trust", links), ("distrust", back)):
+        seeds = now = dict(mass[kind])
+        for _ in range(10):
+            moved = Counter(seeds)
+            for h, m in now.items():
+                for t in to[h]:
+                    moved[t] += 0.85 * m / len(to[h])
+            now = dict(moved)
+        mass[kind] = Counter(now)
+    count = Counter(u.split("/")[2] for _, u, _ in pages)
+    blocked = {h for h in hosts if mass["distrust"][h] - mass["trust"][h] > 0.5 * count[h] + 1e-9}
+    rules = [("com", "/", "allow"), ("net", "/fr/", "block")]
+    df = spark.createDataFrame(pages, PAGES).repartition(4)
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules).collect()}
+    want = {i: "allow" if u.split("/")[2].endswith(".com") else "block" if ".net/fr/" in u or u.split("/")[2] in blocked else "allow" for i, u, _ in pages}
+    assert got == want and 20 < len(blocked) < 1000
+
+
+def test_repeated_pages_and_names_that_clash(spark):
+    page = ("http://b.net/fr/" + "x" * 100_000, "<a href='//c.org/'>")
+    df = spark.createDataFrame([(1, *page), (1, *page), (None, "http://c.org/", "")], PAGES).withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "verdict", "kind", "mass", "k", "pages", "next")})
+    got = url_filter.judge(df, queries.RULES).collect()
+    assert sorted((r["page_id"] or 0, r["rule"], r["verdict"]) for r in got if r["page_id"]) == [(1, "net/fr/", "block")] * 2 and len(got) == 3
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
     folder = "/root/testdata/sf0.001"
