@@ -168,3 +168,9 @@ def test_graphs(spark):
     with pytest.raises(InvalidArgument):
         graphs.Graph([], np.empty((0, 2)), Metric.DOT, m=1)
     assert graphs.Graph([], np.empty((0, 2)), Metric.DOT).nearest(np.zeros(2), 1, 10) == []
+    # ids may hold anything, and 14.5 % of these are on a higher level
+    odd = graphs.Graph(["a\nb", "", "é"], np.eye(3), Metric.DOT)
+    assert graphs.Graph.unpack(odd.pack(), Metric.DOT).ids == odd.ids
+    many = graphs.Graph.__new__(graphs.Graph)
+    many.ids, many.m = [str(k) for k in range(2000)], 16
+    assert sum(many._level(k) > 0 for k in range(2000)) == 290

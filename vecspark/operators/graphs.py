@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import heapq
 import io
-import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,7 +22,10 @@ from vecspark.functions.vectors import shard_of
 from vecspark.model import InvalidArgument, Metric
 from vecspark.operators import search
 
-MAX_LEVEL = 16
+# The FNV-1a hash, and how a hash becomes the next one of a node's levels.
+FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+LEVEL_TURN, LEVEL_FACTOR = 17, 0x9E3779B97F4A7C15
+MAX_LEVEL = 32
 
 
 class Graph:
@@ -43,12 +45,18 @@ class Graph:
         return -((x - q) ** 2).sum(axis=1) if self.metric == Metric.EUCLIDEAN else x @ q
 
     def _level(self, node: int) -> int:
-        """How many levels above the lowest a node is on: one in m of those below."""
-        draw, level = zlib.crc32(self.ids[node].encode()), 0
-        while level < MAX_LEVEL and draw % self.m == 0:
-            level += 1
-            draw = zlib.crc32(draw.to_bytes(4, "little"), level)
-        return level
+        """How many levels above the lowest a node is on: as often in a row as its
+        id's hash, mixed again each time, is among the lowest m-th of all hashes."""
+        word = (1 << 64) - 1
+        h = FNV_BASIS
+        for octet in self.ids[node].encode():
+            h = (h ^ octet) * FNV_PRIME & word
+        for level in range(MAX_LEVEL):
+            if h >= max(1, word // self.m):
+                return level
+            turned = h << LEVEL_TURN | h >> 64 - LEVEL_TURN
+            h = (turned & word) * LEVEL_FACTOR & word
+        return MAX_LEVEL
 
     def _beam(self, q: np.ndarray, starts: list[int], width: int, level: int) -> list[tuple[float, int]]:
         """The ``width`` nearest nodes that a best-first walk finds, nearest first."""
