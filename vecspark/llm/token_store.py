@@ -141,7 +141,7 @@ class Encoder(BpeEncoder):
     each distinct pre-token as long as the memo holds it: white space touches no
     id, so pre-tokens are encoded many to a text, with spaces between."""
 
-    def __init__(self, file: str, limit: int = 300_000):
+    def __init__(self, file: str, limit: int = 400_000):
         self.file, self.tokenizer = file, None
         super().__init__(BpeTables(file), limit)
 
