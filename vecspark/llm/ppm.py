@@ -63,7 +63,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes; those of equal worth stand side by side."""
     head = np.array([len(a) for a in arrays], dtype="<u8").tobytes()
     planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -224,7 +224,7 @@ def asked(docs: DataFrame, order: int, parts: int) -> DataFrame:
             about = [np.array([i or 0 for i in ids], dtype="<i8"), np.array([(i is None) | h << 1 for i, h in zip(ids, held.tolist())], dtype="<u1"), sizes.astype("<u4")]
             lengths = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams)).astype("<u8")
             texts_ = as_bytes(b"".join(streams))
-            rows.append((TEXTS, 0, pack(*about, lengths, texts_, np.bincount(word, minlength=len(words)).astype("<u4"), doc.astype("<u2"), count.astype("<u4"))))
+            rows.append((TEXTS, 0, pack(*about, lengths, texts_, np.diff(flat[first], prepend=0).astype("<u8"), count.astype("<u4"))))
             del tokens, words, flat, first, word, doc, texts_
             pairs, count = lot_windows(streams, order)
             first = runs(pairs >> np.uint64(16))
@@ -322,14 +322,15 @@ def scored(answers: DataFrame, texts: DataFrame, order: int, parts: int, tokens:
             replies: dict[int, list] = {WORDS: [], WINDOWS: [], TEXTS: []}
             for _, kind, _, data in rows:  # in the order of kinds and partitions
                 replies[kind].append(data)
-            ids, flags, sizes, lengths, flat, per_word, doc, count = unpack(replies[TEXTS][0], "<i8", "<u1", "<u4", "<u8", "<u1", "<u4", "<u2", "<u4")
-            of_word = np.concatenate([unpack(x, "<u8")[0] for x in replies[WORDS]]).astype(np.int64)
-            c = np.repeat(of_word, per_word.astype(np.int64))
+            ids, flags, sizes, lengths, flat, steps, count = unpack(replies[TEXTS][0], "<i8", "<u1", "<u4", "<u8", "<u1", "<u8", "<u4")
+            entry = np.cumsum(steps.astype(np.int64))  # word << 16 | document
+            doc = entry & 0xFFFF
+            c = np.concatenate([unpack(x, "<u8")[0] for x in replies[WORDS]]).astype(np.int64)[entry >> 16]
             known = np.bincount(doc, np.where(c > 0, count, 0), len(ids))
             base = np.bincount(doc, count * np.log10(c + 0.5), len(ids)) - sizes * share
             ends, raw = np.cumsum(lengths.astype(np.int64)), flat.tobytes()
             streams = [raw[a:b] for a, b in zip((ends - lengths.astype(np.int64)).tolist(), ends.tolist())]
-            del flat, raw, of_word, c, per_word, doc, count
+            del flat, raw, c, entry, steps, doc, count
             pairs, count = lot_windows(streams, order)
             window = pairs >> np.uint64(16)
             first = runs(window)
