@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vecspark.llm.shared import by_value, opened, release, written
 from vecspark.llm.text import sub_batches
@@ -198,26 +197,20 @@ def identify(
     model = model or fit_text(rows, languages, sample_rows)
     shared = by_value(df.sparkSession, model)
     k = len(languages)
-    said = T.StructType([T.StructField("n", T.LongType()), T.StructField("log", T.ArrayType(T.DoubleType())), T.StructField("other", T.DoubleType())])
 
-    def evidence(batches):
+    # only texts go to Python, a batch at a time
+    @F.arrow_udf("struct<n: long, log: array<double>, other: double>")
+    def evidence(texts: pa.Array, folds: pa.Array) -> pa.Array:
         model = opened(shared)
-        for part, texts in sub_batches(batches, limit=1 << 20):
-            folds = part.column(part.schema.get_field_index("fold")).to_pylist()
-            found = [model.evidence(t, fold) for t, fold in zip(texts, folds)]
-            columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.float64())), pa.array([x[2] for x in found], pa.float64())]
-            e = pa.StructArray.from_arrays(columns, ["n", "log", "other"])
-            at = part.schema.get_field_index("text")
-            others = [i for i in range(part.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in others], e], [*[part.schema.names[i] for i in others], "e"])
-        release()
+        found = [model.evidence(t.as_buffer().to_pybytes() if t.is_valid else b"", fold) for t, fold in zip(texts.cast(pa.binary()), folds.to_pylist())]
+        columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.float64())), pa.array([x[2] for x in found], pa.float64())]
+        return pa.StructArray.from_arrays(columns, ["n", "log", "other"])
 
     prior = written(host_priors(rows, languages, smoothing, right), "host-priors")
     if prior.count() <= broadcast_hosts:  # else documents are dealt out by host
         prior = F.broadcast(prior)
-    read = rows.mapInArrow(evidence, T.StructType([*rows.drop("text").schema.fields, T.StructField("e", said)]))
-    with_text = read.withColumn("h", F.lower(F.coalesce("host", F.lit(""))))
-    joined = with_text.join(prior, with_text["h"] == prior["host_key"], "left")
+    judged = rows.withColumn("e", evidence("text", "fold")).drop("text").withColumn("h", F.lower(F.coalesce("host", F.lit(""))))
+    joined = judged.join(prior, judged["h"] == prior["host_key"], "left")
     flat = F.array(*[F.lit(float(-np.log(k)))] * k)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     logs = add(add(F.col("e.log"), F.coalesce(F.get("prior", F.col("fold")), flat)), add(said_by(F.col("declared"), languages, right), said_by(F.col("suffix"), languages, suffix_right)))
