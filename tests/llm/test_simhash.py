@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vecspark.llm import near_dedup, simhash
+from vecspark.llm import graph, near_dedup, simhash
 from vecspark.llm.graph import connected_components
+from vecspark.llm.shared import written
 
 
 def plain_print(text, k=3):
@@ -150,7 +152,11 @@ def test_links_are_decided_by_the_exact_similarity(documents, sentences):
     assert kept == smallest_of_groups(texts) and len(kept) == 60 + 30 + 6
 
 
-def test_near_pairs_in_a_group_that_shares_a_passage(documents, sentences):
+@pytest.mark.parametrize(("block", "sample"), [(2048, 1024), (8, 1024), (8, 64)])
+def test_near_pairs_in_a_group_that_shares_a_passage(documents, sentences, monkeypatch, block, sample):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(near_dedup, "SLACK", 0.08 if sample == 1024 else 0.4)
     rng = random.Random(13)
     passage = [f"{w}{rng.randrange(1000)}" for w in sentences("fr", 300).split()]
     texts = []
@@ -162,3 +168,35 @@ def test_near_pairs_in_a_group_that_shares_a_passage(documents, sentences):
         texts += [" ".join(passage + own), " ".join(copy)]
     kept = sorted(r["doc_id"] for r in near_dedup.keep_one(documents(texts), views=6, sample=1).select("doc_id").collect())
     assert kept == smallest_of_groups(texts) and len(kept) == 40
+
+
+def test_alike_texts_below_the_similarity_give_no_rows(spark, documents, sentences, monkeypatch):
+    rng = random.Random(3)
+    base = [f"{w}{rng.randrange(1000)}" for w in sentences("en", 40).split()]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for j in rng.sample(range(5, 35), 2):
+            copy[j] = f"own{k}x{j}"
+        texts.append(" ".join(copy))
+    seen = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: seen.append((name, out := written(df, name))) or out)
+    kept = sorted(r["doc_id"] for r in near_dedup.keep_one(documents(texts)).select("doc_id").collect())
+    assert kept == smallest_of_groups(texts)
+    rows = {name: df.count() for name, df in seen}
+    assert rows["unsettled-links"] <= len(texts) and rows["near-pairs"] <= 16 * len(texts)
+
+
+@pytest.mark.parametrize("tail", [0, 40, 10_000])
+def test_components_however_many_links_are_left(spark, monkeypatch, tail):
+    monkeypatch.setattr(graph, "TAIL", tail)
+    rng = random.Random(6)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 6000 + k) for k in range(40)] + [(7, 7)]
+    group = {x: x for link in links for x in link}
+    for a, b in links:
+        old, new = group[a], group[b]
+        group = {x: new if g == old else g for x, g in group.items()}
+    got = {r["node"]: r["label"] for r in graph.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    alone = {x for x in group if sum(g == group[x] for g in group.values()) == 1}
+    assert set(got) == set(group) - alone
+    assert len(set(got.values())) == len({group[x] for x in got}) == len({(group[x], l) for x, l in got.items()})

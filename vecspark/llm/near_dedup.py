@@ -12,16 +12,20 @@ The documents of an equal view are first held against one of them, the one
 nearest to the middle, that is to the majority of their wide fingerprints, which
 joins most copies at little cost.  Views whose documents are then of more than
 one component are settled whole: any two of their documents that are not yet
-joined are held against each other, in squares of blocks of bounded size, first
-the ``nearest`` of each document and, once these are joined, all others.  Wide
-fingerprints are four SimHashes of 64 bits over the distinct shingles.
+joined are held against each other, in squares of blocks of bounded size, and once
+for all the views that they share.  Wide fingerprints are four SimHashes of 64 bits
+over the distinct shingles.
 
 Fingerprints only propose: pairs of one view whose 256 bits differ in at most
 ``bits`` places, and pairs that whole-text fingerprints give.  ``bits`` is six
 standard deviations over what a similarity of 0.8 makes differ (38.5 +- 5.5).
 Each proposed pair is then linked exactly if the Jaccard similarity of its
-distinct shingles (as 64-bit hashes) is at least ``similarity``.  Rows of equal
-text are one from the start.
+distinct shingles (as 64-bit hashes) is at least ``similarity``.  Within a square
+that is decided in place by the shingles themselves, and of the links found those
+that join something new are kept, so that many alike texts below the similarity
+give no rows at all.  Texts of over ``SAMPLE`` distinct shingles bring a part of
+these, by hash; where that part comes within ``SLACK`` of the similarity, the pair
+goes on to be decided by all shingles.  Rows of equal text are one from the start.
 
 Defined cases: null and empty texts and texts without words are copies of each
 other; a text of fewer words than a shingle is one shingle; rows of equal id and
@@ -38,13 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.graph import connected_components
-from vecspark.llm.shared import few, release, written
+from vecspark.llm.shared import few, release, temporary, written
 from vecspark.llm.simhash import majority_bits, near_links, shingle_hashes
 from vecspark.llm.text import sub_batches
 
 WIDE = 4
-#: Rows of a view that are compared with each other at a time.
-BLOCK = 512
+#: Rows of a view that are held against as many others at a time.
+BLOCK = 2048
+#: Distinct shingles that a text brings into a square: all, or half of these to all of them.
+SAMPLE = 1024
+#: Five standard deviations of the similarity that such a part shows.
+SLACK = 0.08
 
 
 def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -95,15 +103,26 @@ def prints_of(texts: DataFrame, shingle: int, views: int, sample: int, seed: int
 
 
 def shingle_sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """node and the hashes of the distinct shingles of ``texts`` (node, text)."""
+    """Of ``texts`` (node, text) node, the hashes of the distinct shingles, and a part
+    of these, all under a bound that is halved ``level`` times, with the number of
+    those under half the bound."""
 
     def run(batches):
         for part, given in sub_batches(batches, limit=1 << 20):
-            sets = [np.unique(np.array(shingle_hashes(t, shingle, seed), dtype=np.uint64)).view(np.int64) for t in given]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            sets, parts, levels, halves = [], [], [], []
+            for t in given:
+                own = np.unique(np.array(shingle_hashes(t, shingle, seed), dtype=np.uint64))  # ascending
+                level = max(0, int(np.ceil(np.log2(max(1, len(own)) / SAMPLE))))
+                under = lambda n: int(np.searchsorted(own, np.uint64((1 << 64 - n) - 1), "right"))  # noqa: B023, E731
+                sets.append(own.view(np.int64))
+                parts.append(own[: under(level)].view(np.int64))
+                levels.append(level)
+                halves.append(under(level + 1))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, longs), pa.array(parts, longs), pa.array(levels, pa.int32()), pa.array(halves, pa.int32())], ["node", "shingles", "sample", "level", "half"])
         release()
 
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>, sample array<long>, level int, half int")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -149,48 +168,88 @@ def view_pairs(seen: DataFrame, bits: int, similarity: float) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b"))
 
 
-def unsettled_pairs(seen: DataFrame, links: DataFrame, bits: int, similarity: float, low: int, high: int | None) -> DataFrame:
-    """Pairs (a, b) of nodes of a view that fingerprints and sizes allow and that
-    ``links`` do not join yet: of those that a node has in a square of blocks, the
-    ones from place ``low`` to ``high`` by nearness."""
+def settle(square: dict[str, np.ndarray], same: bool, v: int, bits: int, similarity: float) -> tuple[list, list, list]:
+    """Links between rows of a square that nothing joins yet: (a, b, whether that is
+    decided).  Rows are held against those after them, or, unless ``same``, those of
+    the first block against those of the second."""
+    node, size, level, half = (square[c] for c in ("node", "size", "level", "half"))
+    wide, views, first = square["wide"], square["views"], square["first"]
+    _, component = np.unique(square["label"], return_inverse=True)
+    counts = square["counts"]
+    owner, ends = np.repeat(np.arange(len(node)), counts), np.cumsum(counts)
+    values, code = np.unique(square["sample"], return_inverse=True)
+    marked = np.zeros(len(values), dtype=bool)
+    a, b, sure = [], [], []
+    rows = np.arange(len(node))
+    left, others = (rows, rows) if same else (rows[first], rows[~first])
+    for row in left.tolist():
+        to = others[row + 1 :] if same else others
+        to = to[component[to] != component[row]]
+        if not len(to):
+            continue
+        fits = np.minimum(size[to], size[row]) >= similarity * np.maximum(size[to], size[row]) - 1e-9
+        # a pair belongs to the first view that both have
+        fits &= ~(views[to, :v] == views[row, :v]).any(axis=1)
+        to = to[fits]
+        to = to[sum((np.bitwise_count(wide[to, k] ^ wide[row, k]).astype(np.int16) for k in range(WIDE)), np.zeros(len(to), dtype=np.int16)) <= bits]
+        if not len(to):
+            continue
+        own = code[ends[row] - counts[row] : ends[row]]
+        marked[own] = True
+        if 16 * len(to) > len(node):
+            both = np.bincount(owner, marked[code], len(node))[to]
+        else:
+            both = np.array([np.count_nonzero(marked[code[ends[t] - counts[t] : ends[t]]]) for t in to.tolist()])
+        marked[own] = False
+        # under the smaller of the two bounds; levels of such sizes differ by one at most
+        mine, theirs = np.where(level[to] > level[row], half[row], counts[row]), np.where(level[to] < level[row], half[to], counts[to])
+        whole = (level[to] == 0) & (level[row] == 0)
+        near = both >= (similarity - np.where(whole, 0.0, SLACK)) * (mine + theirs - both) - 1e-9
+        for t, decided in zip(to[near].tolist(), whole[near].tolist()):
+            if component[t] == component[row]:
+                continue
+            a.append(int(node[row]))
+            b.append(int(node[t]))
+            sure.append(decided)
+            if decided:
+                component[component == component[t]] = component[row]
+    return a, b, sure
+
+
+def unsettled_links(seen: DataFrame, prints: DataFrame, sets: DataFrame, links: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """(a, b, sure) between nodes of a view that ``links`` do not join: links, and,
+    where ``sure`` is false, pairs of long texts that are still to be decided."""
     labels = connected_components(links)
     labelled = written(seen.join(labels, "node", "left").select("v", "key", "node", "wide", "size", F.coalesce("label", "node").alias("label")), "labelled-rows")
     parted = labelled.groupBy("v", "key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = labelled.join(parted.select("v", "key", blocks.alias("blocks")), ["v", "key"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.select("node", "sample", "level", "half"), "node").join(prints.select("node", "views"), "node")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     squares = dealt.groupBy("v", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    lists = squares.agg(F.sort_array(F.collect_list(F.struct("node", "label", "size", (F.col("block") == F.least("block", "other")).alias("first"), "wide"))).alias("rows")).select((F.col("i") == F.col("j")).alias("same"), "rows")
+    row = F.struct("node", "label", "size", "level", "half", (F.col("block") == F.least("block", "other")).alias("first"), "wide", "views", "sample")
+    lists = squares.agg(F.sort_array(F.collect_list(row)).alias("rows")).select("v", (F.col("i") == F.col("j")).alias("same"), "rows")
 
     def compare(batches):
         for batch in batches:
-            same, column = batch.column(0).to_pylist(), batch.column(1)
-            ends, held = column.offsets.to_numpy(), column.values
-            node, label, size, first = (held.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            wide = held.field(4).values.to_numpy().view(np.uint64).reshape(-1, WIDE)
-            a, b = [], []
-            for one, x, y in zip(same, ends[:-1].tolist(), ends[1:].tolist()):
-                left = np.arange(x, y) if one else x + np.flatnonzero(first[x:y])
-                right = left if one else x + np.flatnonzero(~first[x:y])
-                for at, row in enumerate(left.tolist()):
-                    to = right[at + 1 :] if one else right
-                    apart = sum((np.bitwise_count(wide[to, k] ^ wide[row, k]).astype(np.int16) for k in range(WIDE)), np.zeros(len(to), dtype=np.int16))
-                    fits = np.minimum(size[to], size[row]) >= similarity * np.maximum(size[to], size[row]) - 1e-9
-                    near = np.flatnonzero((apart <= bits) & fits)
-                    if not len(near):
-                        continue
-                    chosen = to[near[np.argsort(apart[near], kind="stable")]][low:high]
-                    chosen = chosen[label[chosen] != label[row]]
-                    a += [node[row]] * len(chosen)
-                    b += node[chosen].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    found = lists.mapInArrow(compare, "a long, b long")
-    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "unsettled-pairs")
-
-
-def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 72, seed: int = 42, similarity: float = 0.8, nearest: int = 8) -> tuple[DataFrame, DataFrame]:
+            vs, sames, column = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            for k, (v, same) in enumerate(zip(vs, sames)):
+                held = column.slice(k, 1).flatten()
+                square = {c: held.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "size", "level", "half", "first")}
+                for c in ("wide", "views"):
+                    square[c] = held.field(c).flatten().to_numpy().view(np.uint64).reshape(len(held), -1)
+                square["sample"] = held.field("sample").flatten().to_numpy()
+                square["counts"] = np.diff(held.field("sample").offsets.to_numpy())
+                a, b, sure = settle(square, same, v, bits, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+        release()
+
+    found = lists.mapInArrow(compare, "a long, b long, sure boolean")
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").distinct(), "unsettled-links", arrow_rows=64)
+
+
+def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = 3, views: int = 16, sample: int = 3, bits: int = 72, seed: int = 42, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(a, b, node): the key of each distinct text and its number; and (node, label)
     of each text that has near copies, which share the label."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -211,24 +270,24 @@ def groups(df: DataFrame, text_col: str = "text", shingle: int = 5, radius: int
     some = texts.join(few(keys, BROADCAST_KEYS), ["a", "b"]).select("node", "text")
     sets = written(shingle_sets(some, shingle, seed).dropDuplicates(["node"]), "shingle-sets")
     links = written(similar(pairs, sets, similarity), "near-links")
-    for low, high in ((0, nearest), (nearest, None)):
-        pairs = unsettled_pairs(seen, links, bits, similarity, low, high)
-        links = written(links.unionByName(similar(pairs, sets, similarity)), "near-links")
+    more = unsettled_links(seen, prints, sets, links, bits, similarity)
+    links = links.unionByName(more.where("sure").drop("sure")).unionByName(similar(more.where("NOT sure").drop("sure"), sets, similarity))
     return prints.select("a", "b", "node"), connected_components(links)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with one row, that of the smallest id, of each group of near copies."""
-    texts, labels = groups(df, text_col, **options)
-    label = texts.join(labels, "node", "left").select("a", "b", F.coalesce("label", "node").alias("label"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("doc"), F.col(id_col).alias("own"), *key_of(text))
-    # how often each id has each text, and which of a group's comes first
-    counted = rows.groupBy("own", "a", "b").agg(F.count("*").alias("n")).join(label, ["a", "b"])
-    rank = F.struct(F.col("own").isNull().alias("no_id"), F.col("own").alias("own"), F.col("a").alias("a"), F.col("b").alias("b"))
-    ranked = written(counted.withColumn("rank", rank), "ranked-texts")
-    best = ranked.groupBy("label").agg(F.min("rank").alias("best"))
-    judged = written(ranked.join(best, "label").select("own", "a", "b", "n", (F.col("rank") == F.col("best")).alias("stays")), "judged-texts")
+    with temporary() as keep:
+        texts, labels = groups(df, text_col, **options)
+        label = texts.join(labels, "node", "left").select("a", "b", F.coalesce("label", "node").alias("label"))
+        # how often each id has each text, and which of a group's comes first
+        counted = rows.groupBy("own", "a", "b").agg(F.count("*").alias("n")).join(label, ["a", "b"])
+        rank = F.struct(F.col("own").isNull().alias("no_id"), F.col("own").alias("own"), F.col("a").alias("a"), F.col("b").alias("b"))
+        ranked = written(counted.withColumn("rank", rank), "ranked-texts")
+        best = ranked.groupBy("label").agg(F.min("rank").alias("best"))
+        judged = keep(written(ranked.join(best, "label").select("own", "a", "b", "n", (F.col("rank") == F.col("best")).alias("stays")), "judged-texts"))
     is_ = lambda c: F.col("own").eqNullSafe(F.col(f"{c}_own")) & (F.col("a") == F.col(f"{c}_a")) & (F.col("b") == F.col(f"{c}_b"))
     of = lambda found, c: few(found.select(*[F.col(x).alias(f"{c}_{x}") for x in ("own", "a", "b")]), BROADCAST_KEYS)
     # rows that go, and rows that are there more than once, are fewer than those that stay

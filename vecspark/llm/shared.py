@@ -7,6 +7,8 @@ import ctypes
 import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -56,11 +58,57 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Of each ``temporary`` that is open, what was written in it.
+_OPEN: list[list[DataFrame]] = []
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back.  With ``arrow_rows`` Python
+    functions in its plan get so many rows at a time at most, where rows are long."""
+    path, conf = fresh_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(ARROW_ROWS)
+    if arrow_rows is not None:
+        conf.set(ARROW_ROWS, str(arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(ARROW_ROWS, before)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``written`` wrote; no DataFrame may need it any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written inside is removed at the end, but for what is given to the
+    function that this yields; all results must stand on such tables alone."""
+    tables: list[DataFrame] = []
+    _OPEN.append(tables)
+
+    def keep(df: DataFrame) -> DataFrame:
+        tables[:] = [t for t in tables if t is not df]
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for table in tables:
+            discard(table)
 
 
 def few(keys: DataFrame, bound: int) -> DataFrame:
