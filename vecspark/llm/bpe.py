@@ -277,7 +277,7 @@ class BpeEncoder:
     """Ids of texts; chunks between ASCII white space are encoded once as long as
     the memo holds them."""
 
-    def __init__(self, tables: BpeTables, limit: int = 150_000):
+    def __init__(self, tables: BpeTables, limit: int = 120_000):
         self.tables = tables
         self.chunks = WordMemo(self._chunks, limit)
 
@@ -340,7 +340,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     def run(batches):
         tables = opened(shared)
         encoder, joiner = BpeEncoder(tables), Joiner(tables)
-        for part, texts in sub_batches(batches, limit=2 << 20):
+        for part, texts in sub_batches(batches, limit=1 << 20):
             ids = encoder.encode(texts)
             decimal, decoded = joiner.join(ids)
             sha = lambda of: pa.array([hashlib.sha256(x).hexdigest() for x in of], pa.string())
