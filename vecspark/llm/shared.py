@@ -65,6 +65,12 @@ _OPEN: list[list[DataFrame]] = []
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def bound_batches(spark: SparkSession, rows: int) -> None:
+    """From now on Python functions of this session get so many rows at a time at most:
+    buffers of batches, in the JVM and in workers, are some times their size."""
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(spark.conf.get(ARROW_ROWS)))))
+
+
 def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back.  With ``arrow_rows`` Python
     functions in its plan get so many rows at a time at most, where rows are long."""
