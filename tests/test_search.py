@@ -71,6 +71,14 @@ def test_codes_in_columns_and_arrays(spark):
     assert [r["q"]["squared"] for r in rows] == pytest.approx(squared.tolist(), rel=1e-6)
 
 
+def test_codes_come_from_single_precision(spark):
+    """Doubles that are rounded to singles before they are divided, and one just below a half."""
+    x = np.array([[1.4554425477981567, 0.7048008888959885, 1.1173673272132874], [127.0, np.nextafter(np.float32(0.5), np.float32(0)), -2.5]])
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "k int, vector array<double>")
+    rows = df.select("k", V.quantize(F.col("vector")).alias("q")).orderBy("k").collect()
+    assert [list(r["q"]["codes"]) for r in rows] == search.quantize_array(x)[0].tolist() == [[127, 62, 97], [127, 0, -3]]
+
+
 def test_recall_of_int8(spark):
     x = [[math.sin((67 * i + 13 * d) * 0.019) + math.cos((i + 7 * d) * 0.007) for d in range(64)] for i in range(500)]
     p = search.prepare(frame(spark, [(f"p{i:04}", v, {}) for i, v in enumerate(x)]), Metric.COSINE).cache()

@@ -6,7 +6,7 @@ Euclidean score is the negative squared distance.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,13 +65,27 @@ def single(x: Column) -> Column:
     return x.cast("float").cast("double")
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """What ``make`` gives for a value that is computed once, also where lambdas use it."""
+    return F.transform(F.array(value), make)[0]
+
+
 def quantize(v: Column) -> Column:
-    """Struct of codes from -127 to 127, the scale, and the squared norm of what the codes stand for."""
-    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("float"))))
-    scale = F.when(most > 0, single(most.cast("double") / 127)).otherwise(F.lit(1.0))
-    codes = F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(single(x.cast("double") / scale)).cast("int"))))
-    squares = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a + c * c)
-    return F.struct(codes.cast("array<tinyint>").alias("codes"), scale.cast("float").alias("scale"), (squares.cast("double") * scale * scale).alias("squared"))
+    """Struct of codes from -127 to 127, the scale, and the squared norm of what the
+    codes stand for; components count as rounded to single precision."""
+
+    def codes_of(v: Column, scale: Column) -> Column:
+        return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(single(x / scale)).cast("int"))))
+
+    def scale_of(v: Column) -> Column:
+        most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+        return F.when(most > 0, single(most / 127)).otherwise(F.lit(1.0))
+
+    def made(codes: Column, scale: Column) -> Column:
+        squares = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a + c * c)
+        return F.struct(codes.cast("array<tinyint>").alias("codes"), scale.cast("float").alias("scale"), (squares.cast("double") * scale * scale).alias("squared"))
+
+    return bound(F.transform(v, single), lambda v: bound(scale_of(v), lambda scale: bound(codes_of(v, scale), lambda codes: made(codes, scale))))
 
 
 def score_int8(metric: Metric, a: Column, b: Column) -> Column:

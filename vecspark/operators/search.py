@@ -130,6 +130,7 @@ def _hits(qids: list[str], at: int, ids: pa.Array, scores: np.ndarray, k: int) -
 
 
 def round_half_away(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)  # in singles the sum with a half would be rounded up just below it
     return np.sign(x) * np.floor(np.abs(x) + 0.5)
 
 
