@@ -53,6 +53,51 @@ def test_all_metrics_agree_between_forms(spark, metric):
         assert [one[n, r][0] for r in range(1, 6)] == ids(search.exact(p, v, 5, metric))
 
 
+def test_equal_vectors_tie_by_id_over_batches(spark):
+    """Copies in many batches and tasks, more than k of each: products of matrices may
+    differ in their last bits by place, sums in order don't."""
+    rng = np.random.default_rng(11)
+    kinds = rng.normal(size=(40, 67))
+    rows = [(f"{k:04}-{n % 7}", [float(v) for v in kinds[k % 40]]) for n, k in enumerate(rng.permutation(1200).tolist())]
+    p = spark.createDataFrame(rows, "id string, vector array<double>").repartition(3).cache()
+    queries = [(f"q{k}", kinds[k].tolist()) for k in range(0, 40, 3)]
+    q = spark.createDataFrame(queries, "qid string, query array<double>")
+    by = lambda df: {(r["qid"], r["rank"]): (r["id"], r["score"]) for r in df.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for metric in (Metric.DOT, Metric.EUCLIDEAN):
+            assert by(search.batch_gemm(p, queries, 8, metric, block=5)) == by(search.batch_sql(p, q, 8, metric))
+        # a task gives k rows a query at most, whatever its batches and copies
+        sent = search.batch_gemm(p, queries, 8, Metric.DOT)
+        assert sent.count() == 8 * len(queries)
+        assert search.batch_gemm(p.union(spark.createDataFrame([("none", None)], p.schema)), queries, 8, Metric.DOT).count() == 8 * len(queries)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_task_gives_k_rows_a_query():
+    rng = np.random.default_rng(12)
+    x, q = rng.normal(size=(5000, 6)), rng.normal(size=(3, 6))
+    best = search.Best(Metric.DOT, q, 4)
+    for at in range(0, 5000, 50):
+        best.add([str(n) for n in range(at, at + 50)], x[at : at + 50], 2)
+    out = [b for b in best.hits(["a", "b", "c"])]
+    assert sum(b.num_rows for b in out) == 12
+    assert [int(i) for i in out[0].column(1).to_pylist()[:4]] == np.argsort(-(x @ q[0]))[:4].tolist()
+
+
+def test_what_an_approximate_search_missed(spark):
+    rng = np.random.default_rng(13)
+    p = frame(spark, [(f"p{k:03}", rng.normal(size=6), {}) for k in range(300)]).cache()
+    queries = [(f"q{k}", rng.normal(size=6).tolist()) for k in range(5)]
+    exact = search.batch_gemm(p, queries, 5, Metric.DOT).cache()
+    by = lambda df: sorted((r["qid"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    poor = search.batch_gemm(p.where("id < 'p150'"), queries, 5, Metric.DOT).where("qid <> 'q3'")
+    few = exact.where("rank > 3")
+    for found in (poor, few, exact, exact.limit(0)):
+        assert by(search.completed(found, p, queries, 5, Metric.DOT)) == by(exact)
+
+
 def test_rescoring_tells_equal_codes_apart(spark):
     p = frame(spark, [("a-worse", [0, 1, 0.5, 0], {}), ("z-better", [0, 1, 0.503, 0], {})])
     found = search.ann_int8(p, [("q", [0, 0, 1, 0])], 1, Metric.DOT).collect()

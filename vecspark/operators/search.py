@@ -99,22 +99,124 @@ def scores_of(metric: Metric, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return x @ q.T + 0.0
 
 
-def batch_gemm(points: DataFrame, queries: list[tuple[object, Sequence[float]]], k: int, metric: Metric, block: int = QUERY_BLOCK) -> DataFrame:
-    """The same by matrix products of Arrow batches; a batch gives its own k best
-    (and ties) of each query, of which a window takes the k best of all."""
+def first_copies(ids: list[str], x: np.ndarray, k: int) -> np.ndarray:
+    """Rows that may be among k best: of equal vectors the k least ids."""
+    _, group, sizes = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True, return_counts=True)
+    kept = np.ones(len(x), dtype=bool)
+    if sizes.max(initial=0) > k:
+        many = np.flatnonzero(sizes[group] > k)
+        of = group[many].tolist()
+        seen: dict[int, int] = {}
+        for n in sorted(range(len(many)), key=lambda n: ids[many[n]]):
+            seen[of[n]] = seen.get(of[n], 0) + 1
+            kept[many[n]] = seen[of[n]] <= k
+    return np.flatnonzero(kept)
+
+
+def in_order(metric: Metric, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Scores of the rows of one matrix with those of another, summed from the first
+    component to the last as in ``functions.vectors``: equal vectors score the same."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        d = x[:, j] - q[:, j] if metric == Metric.EUCLIDEAN else None
+        out += x[:, j] * q[:, j] if d is None else d * d
+    return (-out if metric == Metric.EUCLIDEAN else out) + 0.0
+
+
+#: Pairs that are scored in order at a time.
+PAIRS = 65_536
+
+
+class Best:
+    """The k best (score, then id) of each query so far, of which rows come in batches."""
+
+    def __init__(self, metric: Metric, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
+        self.metric, self.q, self.k = metric, queries, k
+        self.lengths = np.sqrt((queries * queries).sum(axis=1))
+        self.floors = np.full(len(queries), -np.inf) if floors is None else floors
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), None, dtype=object)
+
+    def add(self, ids: list[str], x: np.ndarray, block: int) -> None:
+        rows = first_copies(ids, x, self.k)
+        x, held = x[rows], np.empty(len(rows), dtype=object)
+        held[:] = [ids[n] for n in rows.tolist()]
+        squares = (x * x).sum(axis=1)
+        long = np.sqrt(squares.max(initial=0))
+        for at in range(0, len(self.q), block):
+            some = slice(at, at + block)
+            scores = self.q[some] @ x.T
+            # what sums of products in any order may differ by, several times
+            off = (x.shape[1] + 4) * 2.0**-49
+            margin = off * long * self.lengths[some]
+            if self.metric == Metric.EUCLIDEAN:
+                scores = 2 * scores - squares - (self.lengths[some] ** 2)[:, None]
+                margin = off * (long + self.lengths[some]) ** 2
+            least = np.maximum(self.floors[some], self.scores[some, -1])
+            new = np.flatnonzero(np.isneginf(least)) if len(x) > self.k else []
+            if len(new):
+                least[new] = np.partition(scores[new], len(x) - self.k, axis=1)[:, len(x) - self.k]
+            col, row = np.nonzero(~(scores < (least - margin)[:, None]))
+            exact = np.concatenate([np.empty(0), *[in_order(self.metric, x[row[n : n + PAIRS]], self.q[at + col[n : n + PAIRS]]) for n in range(0, len(row), PAIRS)]])
+            passed = np.flatnonzero(exact >= self.floors[at + col])
+            self._merge(at + col[passed], exact[passed], held[row[passed]])
+
+    def _merge(self, col: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        cols = np.unique(col)
+        old, place = np.nonzero(self.ids[cols] != None)  # noqa: E711
+        col = np.concatenate([cols[old], col])
+        scores = np.concatenate([self.scores[cols[old], place], scores])
+        ids = np.concatenate([self.ids[cols[old], place], ids])
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -scores, col)) if len(ids) else np.empty(0, dtype=int)
+        col, scores, ids = col[order], scores[order], ids[order]
+        rank = np.arange(len(col)) - np.searchsorted(col, col)
+        top_ = np.flatnonzero(rank < self.k)
+        self.scores[col[top_], rank[top_]] = scores[top_]
+        self.ids[col[top_], rank[top_]] = ids[top_]
+
+    def hits(self, qids: list[str], rows: int = 65_536) -> Iterator[pa.RecordBatch]:
+        col, place = np.nonzero(self.ids != None)  # noqa: E711
+        for at in range(0, len(col), rows):
+            c, p = col[at : at + rows], place[at : at + rows]
+            yield pa.RecordBatch.from_arrays([pa.array([qids[n] for n in c.tolist()], pa.string()), pa.array(self.ids[c, p].tolist(), pa.string()), pa.array(self.scores[c, p])], ["qid", "id", "score"])
+
+
+def batch_gemm(points: DataFrame, queries: list[tuple[object, Sequence[float]]], k: int, metric: Metric, block: int = QUERY_BLOCK, floors: dict[str, float] | None = None) -> DataFrame:
+    """The same by matrix products of Arrow batches: they say what may be among the k
+    best, whose scores are then summed in order.  A task keeps the k best of each query
+    over all its batches, so it gives k rows a query at most, of which a window takes
+    the k best of all.  With ``floors`` only scores from a query's floor on count.
+    Points without a vector don't take part."""
     if not queries:
         raise InvalidArgument("there is at least one query")
-    shared = points.sparkSession.sparkContext.broadcast(([str(qid) for qid, _ in queries], np.stack([prepare_query(q, metric) for _, q in queries])))
+    least = None if floors is None else np.array([floors.get(str(qid), -np.inf) for qid, _ in queries])
+    shared = points.sparkSession.sparkContext.broadcast(([str(qid) for qid, _ in queries], np.stack([prepare_query(q, metric) for _, q in queries]), least))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        qids, all_ = shared.value
+        qids, all_, least = shared.value
+        best = Best(metric, all_, k, least)
         for batch in batches:
-            x = matrix(batch.column(1))
-            for at in range(0, len(all_) if len(x) else 0, block):
-                scores = scores_of(metric, x, all_[at : at + block])
-                yield _hits(qids, at, batch.column(0), scores, k)
+            if batch.num_rows:
+                best.add(batch.column(0).to_pylist(), matrix(batch.column(1)), block)
+        yield from best.hits(qids)
 
-    return top_by_query(points.select("id", "vector").mapInArrow(run, HITS), k)
+    return top_by_query(points.select("id", "vector").where("vector IS NOT NULL").mapInArrow(run, HITS), k)
+
+
+def completed(found: DataFrame, points: DataFrame, queries: list[tuple[object, Sequence[float]]], k: int, metric: Metric) -> DataFrame:
+    """qid, id, score and rank: what an approximate search has found (qid, id, score),
+    and what it missed.  Its k-th score is the floor of a scan of all points, which
+    only gives rows from there on.  The rows found (k a query) go through the driver."""
+    spark = points.sparkSession
+    held = found.select("qid", "id", "score").toArrow()
+    scores: dict[str, list[float]] = {}
+    for qid, score in zip(held.column("qid").to_pylist(), held.column("score").to_pylist()):
+        scores.setdefault(qid, []).append(score)
+    # scores of columns and of products are the same sums; a floor just below is safe in any case
+    floors = {qid: min(s) - 1e-9 * max(1.0, abs(min(s))) for qid, s in scores.items() if len(s) >= k}
+    rest = batch_gemm(points, queries, k, metric, floors=floors).select("qid", "id", "score")
+    known = spark.createDataFrame(held) if held.num_rows else found.select("qid", "id", "score").limit(0)
+    return top_by_query(known.unionByName(rest).groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
 HITS = "qid string, id string, score double"
@@ -303,6 +405,6 @@ def snapshot_and_delta(segment: DataFrame, delta: DataFrame, dirty: DataFrame, q
 
 def recall(exact_hits: DataFrame, approximate: DataFrame) -> DataFrame:
     """Which part of the exact results (qid, id) an approximate search has found."""
-    n = exact_hits.agg(F.count("*").alias("n"))
-    found = exact_hits.select("qid", "id").join(approximate.select("qid", "id"), ["qid", "id"], "left_semi").agg(F.count("*").alias("found"))
-    return n.join(F.broadcast(found)).select((F.col("found") / F.greatest("n", F.lit(1))).alias("recall"))
+    marked = approximate.select("qid", "id").distinct().withColumn("found", F.lit(1))
+    n = exact_hits.select("qid", "id").join(marked, ["qid", "id"], "left").agg(F.count("*").alias("n"), F.count("found").alias("found"))
+    return n.select((F.col("found") / F.greatest("n", F.lit(1))).alias("recall"))
