@@ -227,3 +227,22 @@ def test_graphs(spark):
     many = graphs.Graph.__new__(graphs.Graph)
     many.ids, many.m = [str(k) for k in range(2000)], 16
     assert sum(many._level(k) > 0 for k in range(2000)) == 290
+
+
+def test_graphs_of_many_points():
+    """Partitions stay bounded as points grow, lists keep to their length, a walk
+    comes to every node, and a large group of copies doesn't cut the graph in two."""
+    assert [graphs.parts_for(n) for n in (0, 2000, 50_000, 50_001, 5_000_000)] == [2, 2, 2, 3, 200]
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 12))
+    x[500:900] = x[500]
+    for metric in (Metric.DOT, Metric.EUCLIDEAN):
+        v = x / np.linalg.norm(x, axis=1)[:, None] if metric == Metric.DOT else x
+        graph = graphs.Graph([f"{k:04}" for k in range(3000)], v, metric, m=12, ef_construction=80)
+        assert all(len(to) <= (24 if level == 0 else 12) and node not in to and len(set(to)) == len(to) for level, links in enumerate(graph.levels) for node, to in links.items())
+        assert [len(level) for level in graph.levels][0] == 3000 and graph.start in graph.levels[-1]
+        found = 0
+        for k in range(0, 500, 10):
+            scores = search.scores_of(metric, v, v[k : k + 1])[:, 0]
+            found += len({i for i, _ in graph.nearest(v[k].astype(np.float32), 10, 96)} & {f"{n:04}" for n in np.argsort(-scores, kind="stable")[:10].tolist()})
+        assert found >= 0.95 * 500

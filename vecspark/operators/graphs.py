@@ -3,7 +3,7 @@
 A partition's graph is built in one task over the points that hash to it and kept
 as a row with a binary column; a search goes through the graphs in parallel,
 takes the nearest of each, and rescores the union in full precision.  The number
-of partitions bounds what a task holds.  Builds are deterministic: points come in
+of partitions (``parts_for``) bounds what a task holds and does.  Builds are deterministic: points come in
 the order of their ids, and a point's level comes from its id.
 """
 
@@ -26,6 +26,9 @@ from vecspark.operators import search
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 LEVEL_TURN, LEVEL_FACTOR = 17, 0x9E3779B97F4A7C15
 MAX_LEVEL = 32
+#: Nodes that are linked at a time, and points of a partition, about: the work on a
+#: partition is bounded by their square.
+LOT, PART_POINTS = 256, 25_000
 
 
 class Graph:
@@ -35,10 +38,9 @@ class Graph:
         if m < 2 or ef_construction < m:
             raise InvalidArgument("m is at least 2 and ef_construction at least m")
         self.ids, self.x, self.metric, self.m = ids, np.ascontiguousarray(x, dtype=np.float32), metric, m
-        self.levels: list[dict[int, list[int]]] = []
-        self.start = -1
-        for node in range(len(ids)):
-            self._insert(node, ef_construction)
+        tops = np.array([self._level(node) for node in range(len(ids))], dtype=np.int64)
+        self.start = int(tops.argmax()) if len(ids) else -1
+        self.levels: list[dict[int, list[int]]] = [self._link(np.flatnonzero(tops >= level), m * (2 if level == 0 else 1), ef_construction) for level in range(int(tops.max(initial=-1)) + 1)]
 
     def scores(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         x = self.x[nodes]
@@ -83,46 +85,77 @@ class Graph:
                         heapq.heappop(held)
         return sorted(((s, -n) for s, n in held), key=lambda x: (-x[0], x[1]))
 
-    def _spread(self, node: int, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Neighbours in unlike directions: one that is nearer to a chosen one than
-        to the node waits, and fills up what is left."""
-        chosen: list[int] = []
-        waiting: list[int] = []
-        for s, n in found:
-            if n == node:
-                continue
-            if len(chosen) < most and (not chosen or s > float(self.scores(self.x[n], chosen).max())):
-                chosen.append(n)
-            else:
-                waiting.append(n)
-        return chosen + waiting[: most - len(chosen)]
-
-    def _insert(self, node: int, width: int) -> None:
-        top = self._level(node)
-        q = self.x[node]
-        at = [self.start] if self.start >= 0 else []
-        for level in range(len(self.levels) - 1, -1, -1):
-            if not at:
+    def _pool(self, rows: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` nearest of ``before`` for each of the rows that end it, which
+        only see what comes before themselves: places and scores, nearest first."""
+        x, y = self.x[rows], self.x[before]
+        scores = x @ y.T
+        if self.metric == Metric.EUCLIDEAN:
+            scores = 2 * scores - (y * y).sum(axis=1) - (x * x).sum(axis=1)[:, None]
+        first = len(before) - len(rows)
+        scores[:, first:][np.triu_indices(len(rows))[0], np.triu_indices(len(rows))[1]] = -np.inf
+        width = min(width, len(before))
+        place = np.argpartition(-scores, width - 1, axis=1)[:, :width]
+        held = np.take_along_axis(scores, place, axis=1)
+        order = np.lexsort((place, -held))
+        return before[np.take_along_axis(place, order, axis=1)], np.take_along_axis(held, order, axis=1)
+
+    def _spread(self, pool: np.ndarray, scores: np.ndarray, most: int) -> list[list[int]]:
+        """Neighbours in unlike directions of many nodes, each with its pool, nearest
+        first (a score of minus infinity: no node): one that is nearer to a chosen one
+        than to the node waits, and fills up what is left."""
+        free = np.isfinite(scores)
+        there, chosen, x = free.copy(), np.zeros_like(free), self.x[pool]
+        squares = (x * x).sum(axis=2) if self.metric == Metric.EUCLIDEAN else None
+        rows = np.arange(len(pool))
+        for _ in range(most):
+            rows = rows[free[rows].any(axis=1)]
+            if not len(rows):
                 break
-            if level > top:
-                at = [self._beam(q, at, 1, level)[0][1]]
+            next_ = free[rows].argmax(axis=1)
+            chosen[rows, next_] = True
+            free[rows, next_] = False
+            near = np.matmul(x[rows], x[rows, next_][:, :, None])[:, :, 0]
+            if squares is not None:
+                near = 2 * near - squares[rows] - squares[rows, next_][:, None]
+            free[rows] &= scores[rows] > near
+        # what waits comes after what is chosen, each nearest first
+        rank = np.argsort(np.where(chosen, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :most]
+        nodes, kept = np.take_along_axis(pool, rank, axis=1), np.take_along_axis(there, rank, axis=1)
+        return [row[some].tolist() for row, some in zip(nodes, kept)]
+
+    def _link(self, nodes: np.ndarray, most: int, width: int) -> dict[int, list[int]]:
+        """Neighbours on one level.  A node takes its own from the nodes before it, of
+        which the nearest are found by products of matrices; those it chose may choose
+        it in turn, and of all that a node has by then ``most`` stay."""
+        links: dict[int, list[int]] = {}
+        for at in range(0, len(nodes), LOT):
+            rows = nodes[at : at + LOT]
+            links.update(zip(rows.tolist(), self._spread(*self._pool(rows, nodes[: at + len(rows)], width), most)))
+        a = np.repeat(nodes, [len(links[n]) for n in nodes.tolist()])
+        b = np.array([n for node in nodes.tolist() for n in links[node]], dtype=np.int64)
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        score = np.concatenate([self._pairs(a[n : n + 65_536], b[n : n + 65_536]) for n in range(0, len(a), 65_536)] or [np.empty(0, np.float32)])
+        order = np.lexsort((b, -score, a))
+        a, b, score = a[order], b[order], score[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        few = rank < width
+        a, b, score, rank = a[few], b[few], score[few], rank[few]
+        for at in range(0, len(nodes), LOT):
+            rows = nodes[at : at + LOT]
+            some = slice(np.searchsorted(a, rows[0]), np.searchsorted(a, rows[-1], "right"))
+            if some.start == some.stop:
                 continue
-            found = self._beam(q, at, width, level)
-            most = self.m * (2 if level == 0 else 1)
-            links = self.levels[level]
-            links[node] = self._spread(node, found, most)
-            for n in links[node]:
-                back = links.setdefault(n, [])
-                back.append(node)
-                if len(back) > most:
-                    near = sorted(zip((-self.scores(self.x[n], back)).tolist(), back))
-                    links[n] = self._spread(n, [(-s, b) for s, b in near], most)
-            at = [n for _, n in found]
-        while len(self.levels) <= top:
-            self.levels.append({node: []})
-            self.start = node
-        for level in range(top + 1):
-            self.levels[level].setdefault(node, [])
+            wide = int(rank[some].max()) + 1
+            pool, scores = np.zeros((len(rows), wide), dtype=np.int64), np.full((len(rows), wide), -np.inf, dtype=np.float32)
+            place = np.searchsorted(rows, a[some])
+            pool[place, rank[some]], scores[place, rank[some]] = b[some], score[some]
+            links.update(zip(rows.tolist(), self._spread(pool, scores, most)))
+        return links
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = self.x[a], self.x[b]
+        return -((x - y) ** 2).sum(axis=1) if self.metric == Metric.EUCLIDEAN else (x * y).sum(axis=1)
 
     def nearest(self, q: np.ndarray, k: int, ef: int) -> list[tuple[str, float]]:
         if self.start < 0:
@@ -158,6 +191,11 @@ class Graph:
         return out
 
 
+def parts_for(points: int, least: int = 2) -> int:
+    """As many partitions as keep each near ``PART_POINTS``."""
+    return max(least, -(-points // PART_POINTS))
+
+
 def build(points: DataFrame, metric: Metric, parts: int, m: int = 16, ef_construction: int = 200) -> DataFrame:
     """part, points and graph (binary) of each partition of prepared points."""
 
@@ -168,7 +206,8 @@ def build(points: DataFrame, metric: Metric, parts: int, m: int = 16, ef_constru
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "points": pa.array([len(rows)], pa.int64()), "graph": pa.array([graph.pack()], pa.binary())})
 
     dealt = points.select("id", F.col("vector").cast("array<float>").alias("vector"), shard_of(F.col("id"), parts).alias("part"))
-    return dealt.groupBy("part").applyInArrow(run, "part int, points long, graph binary")
+    # a task a partition: by hash, some tasks would build several graphs
+    return dealt.repartitionById(parts, "part").groupBy("part").applyInArrow(run, "part int, points long, graph binary")
 
 
 def ann(graphs: DataFrame, points: DataFrame, queries: list[tuple[object, Sequence[float]]], k: int, metric: Metric, ef: int | None = None) -> DataFrame:
